@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm.common import table
+from driftline.llm.decontamination import benchmark_matches
+from driftline.llm.mixing import mixing
+from driftline.llm.quality_fm import quality_fm
 from driftline.llm.simhash_dedup import simhash_near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_fm": lambda s, d: quality_fm(table(s, d, "documents"), table(s, d, "labels")),
         "op2_simhash_near_dedup": lambda s, d: simhash_near_dedup(table(s, d, "documents")),
+        "op7_decontamination": lambda s, d: benchmark_matches(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op8_mixing": lambda s, d: mixing(table(s, d, "documents")),
     }
 
 
