@@ -11,6 +11,8 @@ from driftline.llm.decontamination import benchmark_matches
 from driftline.llm.mixing import mixing
 from driftline.llm.quality_fm import quality_fm
 from driftline.llm.simhash_dedup import simhash_near_dedup
+from driftline.llm.subword_lm import lm_scores
+from driftline.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +21,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_fm": lambda s, d: quality_fm(table(s, d, "documents"), table(s, d, "labels")),
         "op2_simhash_near_dedup": lambda s, d: simhash_near_dedup(table(s, d, "documents")),
+        "op6_subword_lm": lambda s, d: lm_scores(table(s, d, "documents")),
         "op7_decontamination": lambda s, d: benchmark_matches(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_mixing": lambda s, d: mixing(table(s, d, "documents")),
+        "op10_token_counts": lambda s, d: token_counts(table(s, d, "documents")),
     }
 
 
