@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm.common import table
 from driftline.llm.decontamination import benchmark_matches
+from driftline.llm.html_extract import html_extract
+from driftline.llm.lz_fingerprint import lz_fingerprint
 from driftline.llm.mixing import mixing
 from driftline.llm.quality_fm import quality_fm
 from driftline.llm.simhash_dedup import simhash_near_dedup
 from driftline.llm.subword_lm import lm_scores
 from driftline.llm.token_counts import token_counts
+from driftline.llm.url_filter import url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +24,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_fm": lambda s, d: quality_fm(table(s, d, "documents"), table(s, d, "labels")),
         "op2_simhash_near_dedup": lambda s, d: simhash_near_dedup(table(s, d, "documents")),
+        "op3_lz_fingerprint": lambda s, d: lz_fingerprint(table(s, d, "documents")),
+        "op4_url_filter": lambda s, d: url_filter(table(s, d, "pages")),
+        "op5_html_extract": lambda s, d: html_extract(table(s, d, "pages")),
         "op6_subword_lm": lambda s, d: lm_scores(table(s, d, "documents")),
         "op7_decontamination": lambda s, d: benchmark_matches(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_mixing": lambda s, d: mixing(table(s, d, "documents")),
