@@ -12,6 +12,7 @@ from driftline.llm.html_extract import html_extract
 from driftline.llm.lz_fingerprint import lz_fingerprint
 from driftline.llm.mixing import mixing
 from driftline.llm.quality_fm import quality_fm
+from driftline.llm.secret_scan import secret_scan
 from driftline.llm.simhash_dedup import simhash_near_dedup
 from driftline.llm.subword_lm import lm_scores
 from driftline.llm.token_counts import token_counts
@@ -30,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op6_subword_lm": lambda s, d: lm_scores(table(s, d, "documents")),
         "op7_decontamination": lambda s, d: benchmark_matches(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_mixing": lambda s, d: mixing(table(s, d, "documents")),
+        "op9_secret_scan": lambda s, d: secret_scan(table(s, d, "documents")),
         "op10_token_counts": lambda s, d: token_counts(table(s, d, "documents")),
     }
 
