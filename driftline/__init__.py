@@ -1 +1,8 @@
 """Driftline: change detection and evidence analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package go to the executors by value: they need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
