@@ -12,8 +12,8 @@ rows adapts them.
 Words that training has seen are mostly better known by their counts, so a
 token's probability is
 ``max(c - D, 0) / N + (D V / N) lattice(word)`` with the discount
-``D = n1 / (n1 + 2 n2)`` of words seen once and twice (0.5 where there are
-none): what the discount takes from the counts is what the lattice shares out.
+``D = n1 / (n1 + 2 n2)`` of words seen once and twice (0.5 where either is
+missing): what the discount takes from the counts is what the lattice shares out.
 The end has no lattice and keeps its share of the counts. A document's score is
 the sum over its tokens: segmentations do not cross words, so that is the log of
 its marginal probability.
@@ -28,6 +28,7 @@ make no hot spot, and tokens are never shuffled one by one.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +40,13 @@ from driftline.llm.common import held_out, written
 from driftline.llm.unigram import DEFAULT_PATH, SPACE, Vocabulary, load_vocabulary
 
 #: Distinct words that a task holds before it passes them on.
-FLUSH = 200_000
+FLUSH = 300_000
 #: Tokens that a group of documents is meant to hold.
-GROUP_TOKENS = 400_000
+GROUP_TOKENS = 1_000_000
 #: Words longer than this are not used to adapt the vocabulary's scores; they are scored in full.
 LEARN_CHARS = 64
+#: Words whose lattices are computed together.
+BATCH = 2000
 STOP_WEIGHT = math.log(0.2)
 END = ""
 
@@ -57,6 +60,86 @@ class Lattice:
         self.n = len(vocabulary.pieces)
         self.logp = normalised(vocabulary) if logp is None else logp
         self.single = {p for p in vocabulary.pieces if len(p) == 1}
+        self.apart = not any(SPACE in p[1:] for p in vocabulary.pieces if p.strip(SPACE))
+        self._logp = np.array(self.logp)
+
+    def plain(self, word: str) -> bool:
+        """Whether a word's lattice has pieces alone, so that it can be computed beside other words."""
+        return self.apart and len(word) <= LEARN_CHARS and SPACE not in word and self.single.issuperset(word)
+
+    def batch(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Edges of many plain words at once, by end within the word: (node at the start, node at the end, piece,
+        where each end's edges begin, the words' last nodes). Node a of word k is its first node plus a.
+
+        The marked words stand in one string; each begins with the mark, which no piece has inside, so no match
+        reaches from one word into the next."""
+        sizes = np.array([len(w) + 1 for w in batch])
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        hits = np.array([(last, size, i) for last, (size, i) in self.automaton.iter(SPACE + SPACE.join(batch))], dtype=np.int64)
+        word = np.repeat(np.arange(len(batch)), sizes)[hits[:, 0]]
+        end = hits[:, 0] + 1 + word  # each word has one node more than characters
+        order = np.lexsort((end, hits[:, 0] - first[word]))
+        end, start, piece = end[order], (end - hits[:, 1])[order], hits[order, 2]
+        level = (hits[:, 0] - first[word])[order]
+        return start, end, piece, np.searchsorted(level, np.arange(level[-1] + 2)), first + np.arange(len(batch)) + sizes
+
+    def _sums(self, into: np.ndarray, at: np.ndarray, terms: np.ndarray) -> None:
+        """into[a] = log of the sum of exp(terms) for each run of equal a in at."""
+        runs = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        top = np.maximum.reduceat(terms, runs)
+        total = np.add.reduceat(np.exp(terms - np.repeat(top, np.diff(np.append(runs, len(at))))), runs)
+        into[at[runs]] = top + np.log(total)
+
+    def forward(self, batch: list[str], edges: tuple) -> np.ndarray:
+        """The forward recursion in log space for many plain words, one step for each end within a word."""
+        start, end, piece, levels, last = edges
+        alpha = np.full(last[-1] + 1, -np.inf)
+        alpha[last - np.array([len(w) + 1 for w in batch])] = 0.0
+        weight = self._logp[piece]
+        for a, b in zip(levels, levels[1:]):
+            if b > a:
+                self._sums(alpha, end[a:b], alpha[start[a:b]] + weight[a:b])
+        return alpha
+
+    def log_probabilities(self, batch: list[str]) -> list[float]:
+        """log_probability of each word; plain words together."""
+        out = [0.0] * len(batch)
+        plain = [k for k, w in enumerate(batch) if self.plain(w)]
+        for k in set(range(len(batch))).difference(plain):
+            out[k] = self.log_probability(batch[k])
+        if plain:
+            some = [batch[k] for k in plain]
+            edges = self.batch(some)
+            for k, x in zip(plain, (self.forward(some, edges)[edges[4]] + self.logp[-1]).tolist()):
+                out[k] = x
+        return out
+
+    def expected_of(self, batch: list[str], into: np.ndarray) -> None:
+        """expected for each word; plain words together."""
+        some = [w for w in batch if self.plain(w)]
+        for w in batch:
+            if not self.plain(w):
+                self.expected(w, into)
+        if not some:
+            return
+        edges = self.batch(some)
+        start, end, piece, levels, last = edges
+        alpha = self.forward(some, edges)
+        weight = self._logp[piece]
+        beta = np.full(len(alpha), -np.inf)
+        beta[last] = 0.0
+        # Backwards by start within the word: all edges out of a node are known before those into it.
+        first = last - np.array([len(w) + 1 for w in some])
+        word = np.searchsorted(last, start)
+        begin = start - first[word]
+        order = np.lexsort((start, -begin))
+        s, e, w = start[order], end[order], weight[order]
+        steps = -begin[order]
+        for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.concatenate([[True], steps[1:] != steps[:-1]])), len(s)))):
+            self._sums(beta, s[a:b], beta[e[a:b]] + w[a:b])
+        uses = np.exp(alpha[start] + weight + beta[end] - alpha[last][word])
+        into += np.bincount(piece, uses, len(into))
+        into[-1] += len(some)
 
     def edges(self, marked: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end the edges (start, log-probability, piece ids); a character without a piece is its bytes."""
@@ -149,27 +232,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        learnt, other = Counter(), Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([_strings(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["word", "c", "total"])
-            seen.clear()
-            return out
+        def flush() -> Iterator[pa.RecordBatch]:
+            for counts, learns in ((learnt, True), (other, False)):
+                n = pa.array(counts.values(), pa.int64())
+                yield pa.RecordBatch.from_arrays([_strings(list(counts)), n if learns else pa.array(np.zeros(len(n), np.int64)), n], names=["word", "c", "total"])
+                counts.clear()
 
         for b in batches:
             for text, held in zip(b.column(0), b.column(1)):
-                learn = 0 if held.as_py() else 1
-                for w in [*words(text.as_py()), b""]:
-                    x = seen.get(w)
-                    if x is None:
-                        seen[w] = [learn, 1]
-                    else:
-                        x[0] += learn
-                        x[1] += 1
-                if len(seen) >= FLUSH:
-                    yield flush()
-        if seen:
-            yield flush()
+                (other if held.as_py() else learnt).update([*words(text.as_py()), b""])
+                if len(learnt) + len(other) >= FLUSH:
+                    yield from flush()
+        yield from flush()
 
     return docs.select("text", "held_out").mapInArrow(run, "word string, c long, total long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
@@ -184,8 +260,9 @@ def adapt(words_table: DataFrame, vocabulary: Vocabulary) -> list[float]:
         lattice = Lattice(vocabulary)
         into = np.zeros(lattice.n + 257)
         for b in batches:
-            for w in b.column(0):
-                lattice.expected(w.as_py(), into)
+            some = b.column(0).to_pylist()
+            for at in range(0, len(some), BATCH):
+                lattice.expected_of(some[at : at + BATCH], into)
         at = np.flatnonzero(into)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(into[at], pa.float64())], names=["piece", "uses"])
 
@@ -202,7 +279,9 @@ def lattice_scores(words_table: DataFrame, vocabulary: Vocabulary, logp: list[fl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary, logp)
         for b in batches:
-            out = [lattice.log_probability(w.as_py()) if len(w.as_py()) else 0.0 for w in b.column(0)]
+            some = b.column(0).to_pylist()
+            out = [x for at in range(0, len(some), BATCH) for x in lattice.log_probabilities(some[at : at + BATCH])]
+            out = [x if w else 0.0 for w, x in zip(some, out)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["word", "c", "lattice"])
 
     return words_table.select("word", "c").mapInArrow(run, "word string, c long, lattice double")
@@ -222,15 +301,11 @@ def lm_scores(docs: DataFrame, path: str = DEFAULT_PATH, group_tokens: int = GRO
     c = F.col("c")
     s = table.agg(F.sum("c").alias("n"), one(c > 0).alias("v"), one(c == 1).alias("n1"), one(c == 2).alias("n2"), F.sum("total").alias("total")).first()
     n, v, total = s["n"] or 0, s["v"] or 0, s["total"] or 0
-    discount = s["n1"] / (s["n1"] + 2 * s["n2"]) if s["n1"] else 0.5
+    discount = s["n1"] / (s["n1"] + 2 * s["n2"]) if s["n1"] and s["n2"] else 0.5
     share = discount * v / n if n else 1.0
     scored = lattice_scores(table, vocabulary, adapt(table, vocabulary) if v else normalised(vocabulary))
-    floor = (F.log(F.lit(share)) + F.col("lattice")) / math.log(10)
-    known = F.greatest(c - discount, F.lit(0.0)) / max(n, 1)
-    log10_p = F.when(F.col("word") == END, F.log10(known) if n else F.lit(0.0)).when(known > 0, F.log10(known + share * F.exp("lattice"))).otherwise(floor)
-    add_one = F.log10((c + 1) / (n + v + 1))
-    scored = scored.select("word", (c > 0).alias("known"), add_one.alias("base"), F.coalesce(log10_p, F.lit(-math.log10(n + v + 1))).alias("p"), (F.col("lattice") / math.log(10)).alias("lattice"))
-
+    # Single precision is enough for a logarithm and half as much to move.
+    scored = scored.select("word", "c", F.col("lattice").cast("float").alias("lattice"))
     groups = max(1, math.ceil(total / group_tokens))
     dealt = base.withColumn("g", F.pmod(F.xxhash64("text", "doc_id"), F.lit(groups)).cast("int")).repartition("g")
 
@@ -238,7 +313,7 @@ def lm_scores(docs: DataFrame, path: str = DEFAULT_PATH, group_tokens: int = GRO
         seen: dict[int, set[bytes]] = {}
         held = 0
         for b in batches:
-            for text, g in zip(b.column(0), b.column(1)):
+            for text, g in zip(b.column("text"), b.column("g")):
                 own = seen.setdefault(g.as_py(), set())
                 held -= len(own)
                 own.update(words(text.as_py()))
@@ -254,12 +329,23 @@ def lm_scores(docs: DataFrame, path: str = DEFAULT_PATH, group_tokens: int = GRO
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), g), pa.int32()), _strings(list(own))], names=["g", "word"])
         seen.clear()
 
-    needed = dealt.select("text", "g").mapInArrow(vocabulary_of, "g int, word string")
-    looked_up = needed.join(scored, "word").select("g", "word", "known", "base", "p", "lattice")
+    # All columns go through, so that this and the look-up below share one exchange of the texts.
+    needed = dealt.mapInArrow(vocabulary_of, "g int, word string")
+    looked_up = needed.join(scored, "word").select("g", "word", "c", "lattice")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         at = {w: i for i, w in enumerate(right.column("word").cast(pa.binary()).to_pylist())}
-        columns = [right.column(x).to_numpy() for x in ("known", "base", "p", "lattice")]
+        count, lattice = right.column("c").to_numpy(), right.column("lattice").to_numpy().astype(np.float64)
+        add_one = np.log10((count + 1) / (n + v + 1))
+        counted = np.maximum(count - discount, 0) / max(n, 1)
+        with np.errstate(divide="ignore", under="ignore"):
+            p = np.where(counted > 0, np.log10(counted + share * np.exp(lattice)), (math.log(share) + lattice) / math.log(10) if share else -math.inf)
+        end = at.get(b"")
+        if end is not None:
+            p[end] = math.log10(counted[end]) if counted[end] > 0 else (add_one[end] if n else 0.0)
+        # A discount of nothing leaves the unseen words the share that adding one would.
+        p = np.where(np.isfinite(p), p, add_one)
+        columns = [count > 0, add_one, p, lattice / math.log(10)]
         out: list[list] = [[], [], [], [], []]
         for text in left.column("text"):
             tokens = [*words(text.as_py()), b""]

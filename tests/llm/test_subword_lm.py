@@ -32,6 +32,20 @@ def test_forward_recursion_sums_all_segmentations():
     assert lattice.log_probability("a" * 20_000) < -1000  # no underflow
 
 
+def test_words_together_equal_words_alone():
+    import numpy as np
+
+    lattice = M.Lattice(load_vocabulary())
+    some = ["the", "thinganonorernt", "é", "x" * 70, "日本", "a▁b", "ciónment,", "token***", "q" * 60, "🙂🙃", "the", "a"]
+    assert lattice.log_probabilities(some) == pytest.approx([lattice.log_probability(w) for w in some])
+    assert lattice.log_probabilities([""] + some)[1:] == pytest.approx(lattice.log_probabilities(some))
+    one, all_ = np.zeros(lattice.n + 257), np.zeros(lattice.n + 257)
+    for w in some:
+        lattice.expected(w, one)
+    lattice.expected_of(some, all_)
+    assert all_ == pytest.approx(one, abs=1e-9) and all_[-1] == len(some)
+
+
 def test_scores_equal_a_plain_computation(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(100001, None), (100002, ""), (None, "the odd ROW"), (100003, "the " * 500), (100003, "the " * 500)], "doc_id long, text string")
