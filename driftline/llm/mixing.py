@@ -10,7 +10,7 @@ probability of the source's part of the whole target. The draws come from
 hashes of the slot's number, and a draw finds its source through cells of the
 cumulative weights: an equality join for any number of sources. Draws beyond a
 source's share of blocks are given back and those that it lacks are placed in a
-closing shard, so each source ends within half a block of its target.
+closing shard, so each source ends within about a block of its target.
 
 Map. A source's slots are numbered through its shards; slot j is position
 j mod n of epoch j div n of the source's n blocks, and a permutation of
@@ -36,15 +36,15 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WORD, checkpointed
+from driftline.llm.common import WORD, checkpointed, shuffle_partitions
 
-BLOCK = 32
+BLOCK = 16
 SHARD = 4096
 WEIGHTS = (3, 1, 2)
 CELLS = 4096
 ROUNDS = 16
 #: Documents of a source that one range of the hash is meant to hold.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -122,7 +122,9 @@ def draws(plan: DataFrame, n_slots: int, seed: int = 8) -> DataFrame:
     runs = drawn.join(plan.select("sid", "take"), "sid").select("sid", "first", F.least(F.col("first") + F.col("n"), F.col("take")).alias("end")).filter("first < end")
     # The closing shard may lack many slots of one source: its run is cut as the shards' runs are.
     cut = closing.select("sid", F.explode(F.expr(f"sequence(first, take - 1, {SHARD})")).alias("first"), "take").select("sid", "first", F.least(F.col("first") + SHARD, F.col("take")).alias("end"))
-    slot = runs.unionByName(cut).join(plan.select("sid", "blocks"), "sid").select("sid", "blocks", F.explode(F.expr("sequence(first, end - 1)")).alias("j"))
+    # A run is one row here and up to SHARD below: dealt by number, so that few small rows are not put in one task.
+    dealt = runs.unionByName(cut).repartition(shuffle_partitions(spark), "sid", "first")
+    slot = dealt.join(plan.select("sid", "blocks"), "sid").select("sid", "blocks", F.explode(F.expr("sequence(first, end - 1)")).alias("j"))
     slot = slot.select("sid", "blocks", F.expr("j div blocks").alias("epoch"), F.expr("j % blocks").alias("pos"))
     return slot.select("sid", "epoch", F.expr(permuted("pos", "blocks", str(seed), "sid", "epoch")).alias("block"))
 
@@ -137,7 +139,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     spark = rows.sparkSession
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     per = per.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    take = F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long")
+    # Whole rounds over the source's blocks, then as many blocks as come nearest to the rest.
+    whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
+    rest = F.least(F.col("blocks"), F.round((F.col("target") - whole * F.col("source_size")) / block))
+    take = (whole * F.col("blocks") + rest).cast("long")
     plan = checkpointed(per.withColumn("take", F.least(take, F.floor(F.col("blocks") * F.lit(most)).cast("long"))))
     total = plan.agg(F.sum("take").alias("slots")).first()
     n_rows = rows.count()

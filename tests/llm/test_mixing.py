@@ -41,7 +41,7 @@ def test_targets_and_takings(spark):
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= M.BLOCK for s in sizes)
+    assert all(abs(taken[s] - want[s]) <= 1.5 * M.BLOCK for s in sizes)
     key = lambda rows: sorted(map(str, rows))
     assert key(M.mix(docs.repartition(5)).collect()) == key(out)
     assert M.mix(docs.filter("false")).count() == 0
