@@ -55,8 +55,9 @@ def sentence_spans(text: Column) -> Column:
 
 def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """(id, shingles): the distinct runs of size words of the normal form, or all words where there are fewer; none
-    for a text without words. The words are a column of their own, so that they are split once a row."""
-    w = docs.select(F.col(id_col), F.split(normalise(F.col(text_col)), " ").alias("w"))
+    for a text without words. The words come out of a generator, which no later filter or projection is merged into:
+    else the text would be split again for every word."""
+    w = docs.select(F.col(id_col), F.explode(F.array(F.split(normalise(F.col(text_col)), " "))).alias("w"))
     run = F.transform("w", lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + k) for k in range(1, size)]))
     full = F.when(F.size("w") >= size, F.slice(run, F.lit(1), F.size("w") - (size - 1))).otherwise(F.array(F.concat_ws(" ", "w")))
     return w.select(F.col(id_col), F.array_distinct(F.filter(full, lambda s: s != "")).alias("shingles"))

@@ -61,7 +61,7 @@ def extract(docs: DataFrame, rules: list[tuple] | None = None, lexicon=SUBJECT_L
             hit = F.when(matches(F.col("sentence"), pattern), one).otherwise(hit)
         first_of.append(hit)
     fired = F.slice(F.array_sort(F.array_compact(F.array(*first_of))), 1, MAX_CLAIMS_PER_SENTENCE)
-    found = s.withColumn("fired", fired).filter(F.size("fired") > 0)
+    found = s.withColumn("fired", fired)
     spec = any_of(F.col("sentence"), forward) if forward else F.lit(False)
     entity = F.lit(None).cast("string")
     for surface, key in reversed(entities or []):
