@@ -38,14 +38,14 @@ BRIDGE = (("DEMAND", "click"), ("DEMAND", "purchase"), ("SUPPLY", "error"), ("SU
 SUPPORTS = ("click", "purchase", "signup")
 #: Rules over words that the documents hold, for the extraction query; the two guards likewise.
 DOC_RULES = (
-    ("SUPPLY", r"\bthe\b.{0,30}\bof\b", 0.9, 0.8, "The of"),
-    ("SUPPLY", r"\bhan\w*", 0.5, 0.6, "Han"),
-    ("DEMAND", r"\b(der|die|das)\b.{0,40}\b(und|ist)\b", 0.7, 0.75, "Der und"),
-    ("DEMAND", r"\bque\b", 0.6, 0.7, "Que"),
-    ("PRICING", r"\b(la|le|les)\b.{0,25}\b(de|des)\b", 0.65, 0.85, "La de"),
-    ("CAPEX", r"\band\b", 0.4, 0.5, "And"),
+    ("SUPPLY", r"(^| )the .{0,30} of ", 0.9, 0.8, "The of"),
+    ("SUPPLY", r"(^| )han", 0.5, 0.6, "Han"),
+    ("DEMAND", r"(^| )(der|die|das) .{0,40} (und|ist) ", 0.7, 0.75, "Der und"),
+    ("DEMAND", r"(^| )que ", 0.6, 0.7, "Que"),
+    ("PRICING", r"(^| )(la|le|les) .{0,25} (de|des) ", 0.65, 0.85, "La de"),
+    ("CAPEX", r"(^| )and ", 0.4, 0.5, "And"),
 )
-DOC_STABLE, DOC_FORWARD = (r"\bwas\b",), (r"\bthat\b", r"\bsur\b")
+DOC_STABLE, DOC_FORWARD = (r"(^| )was ",), (r"(^| )that ", r"(^| )sur ")
 DOC_SUBJECTS = (("english", ("the ", "and ")), ("german", ("der ", "und ", "die ")), ("french", ("les ", "que ")))
 CORPUS = (
     (1, "Suppliers cannot currently meet demand for memory. Contract pricing rose and inventories declined. We expect pricing to fall."),

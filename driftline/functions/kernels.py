@@ -44,7 +44,8 @@ def activation_weight(acceleration: Column, strength: Column) -> Column:
 
 
 def component_value(x: Column) -> Column:
-    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), x)), 4)
+    """Clamped to 0..100; null stays null, which greatest and least would pass over."""
+    return F.when(x.isNotNull(), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), x)), 4))
 
 
 def contribution(magnitude: Column, conf: Column, quality: Column) -> Column:

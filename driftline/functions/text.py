@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.plans.definitions import STOPWORDS
 
@@ -16,10 +17,13 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", " "), " +", " "))
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
     """Optional step before normalise, for texts with compatibility characters; there is no built-in for it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    def run(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(run, T.StringType())(text)
 
 
 def content_hash(text: Column) -> Column:

@@ -32,7 +32,8 @@ def subject_of(sentence: Column, hints: Column | None = None, lexicon=SUBJECT_LE
         out = out.when(h == top, subject)
     if hints is None:
         return out
-    known = F.create_map(*[F.lit(x) for s, terms in reversed(lexicon) for t in (*terms, s) for x in (t, s)]) if lexicon else None
+    names = {t: s for s, terms in reversed(lexicon) for t in (*terms, s)}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     named = F.get(F.filter(F.transform(hints, lambda h: F.try_element_at(known, F.lower(h))), lambda s: s.isNotNull()), F.lit(0))
     return F.coalesce(out, named)
 
