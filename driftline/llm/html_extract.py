@@ -41,9 +41,9 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split
 _SKIP = frozenset("aside button canvas datalist dialog footer form head iframe map menu nav noembed noframes noscript object script search select style svg template textarea title video audio".split())
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _HINTS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie"
-    " cookies disqus dropdown footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup"
-    " promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget widgets".split()
+    "ad ads adbox adslot alert advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentarea commentbox commentform commentlist commentsection commentthread consent cookie"
+    " cookies disclaimer disqus dropdown footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup"
+    " promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget widgets".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key closes an open element of the value, as in HTML.
@@ -65,8 +65,10 @@ def boilerplate(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and any(w.lower() in _HINTS for w in _WORDS.findall(value)):
-            return True
+        if key in ("class", "id"):
+            words = {w.lower() for w in _WORDS.findall(value)}
+            if words & _HINTS or "header" in words and not inside:
+                return True
     return False
 
 

@@ -17,6 +17,7 @@ def test_article_without_surroundings():
 def test_page_without_an_article_element():
     page = f"<body><div class='menu'>Menu words</div><div><a href=x>Link</a> <a href=y>Other link</a></div><div id=content><h2>Title</h2><p>{LONG}</p><p>x</p><p>{LONG}</p></div><div class=footer>{LONG}</div>"
     assert main_text(page) == f"Title\n\n{LONG}\n\nx\n\n{LONG}"
+    assert main_text(f"<div class='site-header'>{LONG}</div><div class='post'><div class='post-body'><p>{LONG}</p></div></div><ol class='commentThread commentlist'><li>{LONG}</li></ol>") == LONG
     assert main_text("just text") == "just text"
     assert main_text("<p>a<p>b") == "a\n\nb"
 
