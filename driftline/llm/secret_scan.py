@@ -62,11 +62,13 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, word_at, value, key, before, after, path): word_at is the number of the word that holds the value."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(named, F.lit("")).alias("path"), F.split(text, _GAP).alias("w"))
+    # The words come out of a generator, which nothing is merged into: they are split once a text. What a candidate needs
+    # of them is taken before the candidates become rows, so that no row carries a text's words.
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(named, F.lit("")).alias("path"), F.explode(F.array(F.split(text, _GAP))).alias("w"))
     at = F.filter(F.transform("w", lambda x, i: F.when(_worth(x), i).otherwise(-1)), lambda i: i >= 0)
-    at = base.withColumn("at", at).filter(F.size("at") > 0)
-    one = at.select("doc_id", "path", "w", F.explode("at").alias("word_at"))
-    near = one.select("doc_id", "word_at", "path", F.expr("w[word_at]").alias("word"), F.expr("concat_ws(' ', get(w, word_at - 2), get(w, word_at - 1))").alias("before"), F.expr("coalesce(get(w, word_at + 1), '')").alias("after"))
+    word = lambda i: F.get("w", i)
+    around = lambda i: F.struct(i.alias("word_at"), word(i).alias("word"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"), F.coalesce(word(i + 1), F.lit("")).alias("after"))
+    near = base.select("doc_id", "path", F.inline(F.transform(at, around)))
     value = F.regexp_extract("word", rf"(?:^|[^A-Za-z0-9+/_~.-])([A-Za-z0-9+/_~.-]{{{MIN_LENGTH},}}={{0,2}})[^A-Za-z0-9]*$", 1)
     key = F.regexp_extract("word", r"^[\"'`(<\[{]*([A-Za-z][A-Za-z0-9_.-]*)[\"'`]?[=:]", 1)
     out = near.select("doc_id", "word_at", F.regexp_replace(value, r"\.+$", "").alias("value"), key.alias("key"), "before", "after", "path")
