@@ -134,15 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factori
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0))
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(*order).limit(rows)
 
-    @F.arrow_udf("struct<i:array<int>,v:array<float>>")
+    # Vectors travel as bytes: as numbers one by one they would be boxed in the driver's Python, many times their size.
+    @F.arrow_udf("struct<i:binary,v:binary>")
     def features(text: pa.Array, stated: pa.Array) -> pa.Array:
         out = [vector(t.as_py(), n.as_py()) for t, n in zip(text, stated)]
-        return pa.array([{"i": i, "v": v} for i, v in out], pa.struct([("i", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))]))
+        return pa.array([{"i": i.astype("<i4").tobytes(), "v": v.astype("<f4").tobytes()} for i, v in out], pa.struct([("i", pa.binary()), ("v", pa.binary())]))
 
     # chosen has at most `rows` rows of two numbers, which is what makes the broadcast safe.
     sample = _inputs(docs).join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(rows)
     got = sample.select("doc_id", "quality", features("text", "n_chars").alias("x")).collect()
-    return fit([(np.array(r.x.i, np.int32), np.array(r.x.v, np.float32), int(r.quality)) for r in got])
+    return fit([(np.frombuffer(r.x.i, "<i4"), np.frombuffer(r.x.v, "<f4"), int(r.quality)) for r in got])
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
