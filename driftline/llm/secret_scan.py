@@ -1,8 +1,11 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-Candidates are the values in words that hold a digit or a padding sign and at
-least MIN_LENGTH characters of key material, with the key written before them
-and the two words before and the one after. Features: length, digits, capitals,
+Candidates are all runs of key material of at least MIN_LENGTH characters in
+words that hold a digit or a padding sign; the values of SHORTEST characters and
+more that a secret's name and a sign of assignment stand before, in the word or
+in the two words before it, whatever their characters; and the credentials in
+addresses (//user:password@host). With each goes the key written before it and
+the two words before and the one after. Features: length, digits, capitals,
 hexadecimal digits, distinct characters, changes between small letters, capitals
 and digits, the share of characters that dictionary words cover, separators, a
 known prefix, what the neighbouring words and the key say for or against a
@@ -21,6 +24,8 @@ repeated ones give repeated findings.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,7 +34,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_LENGTH = 12
-FINDINGS = 4000
+SHORTEST = 4
+FINDINGS = 6000
+KINDS_AT_ONCE = 7
 TREES = 20
 DEPTH = 7
 THRESHOLD = 0.5
@@ -53,26 +60,82 @@ FEATURES = ("length", "digits", "capitals", "hex", "distinct", "changes", "cover
 _GAP = r"[\x20\x09-\x0D]+"
 
 
+_KEYS = r"(?i:pass|pwd|secret|token|api|auth|cred|bearer|private|access|key)"
+_NAME = rf"[A-Za-z0-9_.-]*{_KEYS}[A-Za-z0-9_.-]*"
+_SIGN = r"[\"'`\]\\]*(?:[=:]+>?)"
+_OPEN = r"[(\[{<\\]*"
+#: A quoted value ends at its quote, another one where a list, a query string or a bracket goes on.
+_VALUE = rf"(?:\"[^\"\\]{{{SHORTEST},}}|'[^'\\]{{{SHORTEST},}}|`[^`]{{{SHORTEST},}}|[^\"'`\\,;&<>()\[\]{{}}|]{{{SHORTEST},}})"
+_ASSIGNED = rf"{_NAME}{_SIGN}{_OPEN}({_VALUE})"
+_SPOKEN = rf"(?:{_NAME}[\"'`]* ?[=:]+>?[\"'`(\[{{<]*|\b(?i:bearer))$"
+#: Texts with a word that the words before name as a secret match it; it needs no words by number.
+_TOLD = rf"(?:{_KEYS}[A-Za-z0-9_.-]*[\"'`]*(?:{_GAP})?[=:]+>?[\"'`(\[{{<]*|(?i:bearer)){_GAP}"
+_LOGIN = r"://(?:[^/:@]*:)?([^/@]+)@"
+_RUN = rf"[A-Za-z0-9+/_~.-]{{{MIN_LENGTH},}}={{0,2}}"
+
+
 def _worth(word: Column) -> Column:
-    """Whether a word may hold a candidate."""
-    return (F.length(word) >= MIN_LENGTH) & word.rlike("[0-9=]") & word.rlike(f"[A-Za-z0-9+/_~.-]{{{MIN_LENGTH},}}")
+    """Whether a word may hold a candidate that no word before it tells."""
+    run = (F.length(word) >= MIN_LENGTH) & word.rlike("[0-9=]") & word.rlike(_RUN)
+    return run | word.rlike("[=:]") & (word.rlike(_ASSIGNED) | word.rlike(_LOGIN))
+
+
+def _around(words: Column, i: Column) -> tuple[Column, Column]:
+    """The two words before word i in one text, and whether they name a secret that word i is the value of."""
+    before = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))
+    return before, F.get(words, i - 1).rlike("(?:[=:]>?[\"'`(\\[{<]*|(?i:bearer))$") & before.rlike(_SPOKEN)
+
+
+def _places(words: Column) -> Column:
+    """The numbers of the words that may hold candidates."""
+    at = F.transform(words, lambda x, i: F.when(_worth(x) | (F.length(x) >= SHORTEST) & F.coalesce(_around(words, i)[1], F.lit(False)), i).otherwise(-1))
+    return F.filter(at, lambda i: i >= 0)
+
 
+def _literal(value: Column) -> Column:
+    """A pattern that matches value alone."""
+    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """(doc_id, word_at, value, key, before, after, path): word_at is the number of the word that holds the value."""
+
+def _values(word: Column, spoken: Column) -> Column:
+    """The distinct values in a word; spoken: the words before name it."""
+    bare = lambda v: F.regexp_replace(F.regexp_replace(v, "^[\"'`]", ""), r"\.+$", "")
+    runs = F.regexp_extract_all(word, F.lit(f"({_RUN})"), F.lit(1))
+    assigned = F.regexp_extract_all(word, F.lit(_ASSIGNED), F.lit(1))
+    login = F.regexp_extract_all(word, F.lit(_LOGIN), F.lit(1))
+    told = F.when(spoken, F.array(F.regexp_extract(word, rf"^{_OPEN}({_VALUE})", 1))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(F.filter(runs, lambda v: word.rlike("[0-9=]")), assigned, login, told), bare))
+
+
+def candidates(docs: DataFrame, path: str = "source", everywhere: bool = False) -> DataFrame:
+    """(doc_id, word_at, value, key, before, after, path): word_at is the number of the word that holds the value.
+
+    Without everywhere only the runs that end their words.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     # The words come out of a generator, which nothing is merged into: they are split once a text. What a candidate needs
     # of them is taken before the candidates become rows, so that no row carries a text's words.
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(named, F.lit("")).alias("path"), F.explode(F.array(F.split(text, _GAP))).alias("w"))
-    at = F.filter(F.transform("w", lambda x, i: F.when(_worth(x), i).otherwise(-1)), lambda i: i >= 0)
-    word = lambda i: F.get("w", i)
-    around = lambda i: F.struct(i.alias("word_at"), word(i).alias("word"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"), F.coalesce(word(i + 1), F.lit("")).alias("after"))
-    near = base.select("doc_id", "path", F.inline(F.transform(at, around)))
-    value = F.regexp_extract("word", rf"(?:^|[^A-Za-z0-9+/_~.-])([A-Za-z0-9+/_~.-]{{{MIN_LENGTH},}}={{0,2}})[^A-Za-z0-9]*$", 1)
-    key = F.regexp_extract("word", r"^[\"'`(<\[{]*([A-Za-z][A-Za-z0-9_.-]*)[\"'`]?[=:]", 1)
-    out = near.select("doc_id", "word_at", F.regexp_replace(value, r"\.+$", "").alias("value"), key.alias("key"), "before", "after", "path")
-    return out.filter(F.length("value") >= MIN_LENGTH)
+    w = F.col("w")
+
+    def around(i: Column) -> Column:
+        before, spoken = _around(w, i)
+        return F.struct(i.alias("word_at"), F.get(w, i).alias("word"), before.alias("before"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"), F.coalesce(spoken, F.lit(False)).alias("spoken"))
+
+    near = base.select("doc_id", "path", F.inline(F.transform(_places(w), around)))
+    word, value = F.col("word"), F.col("value")
+    if everywhere:
+        found = near.withColumn("value", F.explode(_values(word, F.col("spoken")))).filter(F.length("value") >= SHORTEST)
+    else:
+        last = F.regexp_extract(word, rf"(?:^|[^A-Za-z0-9+/_~.-])({_RUN})[^A-Za-z0-9]*$", 1)
+        found = near.withColumn("value", F.regexp_replace(last, r"\.+$", "")).filter((F.length("value") >= MIN_LENGTH) & word.rlike("[0-9=]"))
+    # The names right before the value, wherever it stands in the word, or else the one that the word begins with.
+    names = F.array_join(F.regexp_extract_all(word, F.concat(F.lit(rf"([A-Za-z][A-Za-z0-9_.-]*){_SIGN}[^A-Za-z0-9+/_~.-]*"), _literal(value)), F.lit(1)), " ")
+    login = F.when(F.rlike(word, F.concat(F.lit("://(?:[^/:@]*:)?"), _literal(value), F.lit("@"))), "password")
+    first = F.regexp_extract(word, r"^[\"'`(<\[{]*([A-Za-z][A-Za-z0-9_.-]*)[\"'`]?[=:]", 1)
+    key = F.concat_ws(" ", F.when(names != "", names).otherwise(first), login)
+    return found.select("doc_id", "word_at", "value", F.trim(key).alias("key"), "before", "after", "path")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -117,6 +180,10 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = 9)
     other_key = pick("ok", ("id", "version", "file", "name", "order_id", "sha256", "etag", "url", "path", "ref"))
     hexes = cut(F.concat(h("x"), h("y")), "hn", 16, 64)
     uuid = F.regexp_replace(h("u"), r"^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
+    syllable = ("ka", "lo", "mi", "ren", "tus", "ver", "ola", "nt", "ing", "pre", "con", "sta", "dor", "fel", "gu", "hi", "bo", "dy", "se", "qui")
+    made_up = F.concat(*[pick(f"s{k}", syllable) for k in range(2)], pick("s2", (*syllable, *[""] * 10)), pick("s3", (*syllable, *[""] * 20)))
+    letters = F.regexp_replace(mixed, "[0-9]", "")
+    mark = lambda k: pick(k, list("!#$%@*?^&"))
     date = F.format_string("%d-%02d-%02d", num("y", 1995, 2030), num("m", 1, 12), num("dd", 1, 28))
     # kind: (label, value, key, before)
     kinds = [
@@ -144,13 +211,35 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = 9)
         (0, F.concat(word("w1"), num("n15", 1, 99).cast("string"), word("w2"), F.lit("_"), word("w3")), F.lit(""), plain),
         (0, F.concat(word("w1"), F.lit("."), word("w2"), num("n16", 1, 99).cast("string"), F.lit("."), word("w3"), F.lit(".com")), F.lit(""), F.concat_ws(" ", pick("p1", filler), F.lit("mail:"))),
         (0, F.concat(F.lit("555-"), F.substr(digits, F.lit(1), F.lit(3)), F.lit("-"), F.substr(digits, F.lit(4), F.lit(4))), F.lit(""), F.concat_ws(" ", pick("p1", filler), pick("ph", ("phone", "tel", "call")))),
+        (1, cut(mixed, "n17", 6, 13), secret_key, plain),
+        (1, F.concat(cut(mixed, "n18", 5, 12), num("n19", 0, 9).cast("string")), F.lit(""), spoken),
+        (1, cut(letters, "n20", 14, 34), secret_key, plain),
+        (1, F.lower(cut(letters, "n21", 14, 34)), secret_key, plain),
+        (1, F.lower(cut(letters, "n22", 14, 34)), F.lit(""), spoken),
+        (1, F.concat(F.initcap(pick("pw", (*DICTIONARY[:60], *syllable))), mark("k1"), num("n23", 1, 9999).cast("string"), mark("k2"), cut(letters, "n24", 1, 6)), secret_key, plain),
+        (1, F.concat(cut(mixed, "n25", 2, 6), mark("k3"), F.substr(mixed, F.lit(9), F.lit(4)), mark("k4")), F.lit(""), spoken),
+        (1, F.concat(made_up, num("n26", 1, 9999).cast("string"), pick("k5", ("", "", "!"))), secret_key, plain),
+        (0, word("w5"), secret_key, plain),
+        (0, made_up, F.lit(""), spoken),
+        (0, made_up, secret_key, plain),
+        (0, F.concat(made_up, pick("ms", syllable), pick("mt", syllable)), F.lit(""), spoken),
+        (0, pick("no", ("true", "false", "null", "None", "undefined", "required", "optional", "changeme", "xxxxxxxx", "********", "****", "......", "${PASSWORD}", "$TOKEN", "<password>", "{{secret}}", "process.env.TOKEN", "os.environ", "getenv", "string", "hidden", "redacted", "[SECRET]", "-----")), secret_key, plain),
+        (0, pick("no", ("true", "false", "null", "None", "undefined", "required", "optional", "changeme", "xxxxxxxx", "********", "****", "......", "${PASSWORD}", "$TOKEN", "<password>", "{{secret}}", "process.env.TOKEN", "os.environ", "getenv", "string", "hidden", "redacted", "[SECRET]", "-----")), F.lit(""), spoken),
+        (0, cut(digits, "n27", 4, 10), pick("dk", ("key", "access", "api", "token_count", "max_tokens", "keyboard")), plain),
+        (0, F.concat(F.lit("/"), word("w6"), F.lit("/"), made_up, F.lit("."), pick("ex", ("pem", "txt", "json", "key"))), pick("fk", ("token_file", "key_path", "secret_file")), plain),
+        (0, F.concat(made_up, pick("ms", syllable), pick("mt", syllable), F.lit("."), num("n28", 1, 99).cast("string")), F.lit(""), plain),
+        (0, F.concat(pick("ho", ("mail", "db", "www", "api")), num("n29", 1, 9).cast("string"), F.lit("."), made_up, pick("tl", (".com", ".org", ".net/prod", ".com/cb"))), pick("hk2", ("", "", "https", "host")), plain),
     ]
-    kind = F.pmod(F.col("id"), F.lit(len(kinds)))
-    made = F.struct(F.lit(0).alias("label"), F.lit("").alias("value"), F.lit("").alias("key"), F.lit("").alias("before"))
-    for k, (label, value, key, before) in enumerate(kinds):
-        made = F.when(kind == k, F.struct(F.lit(label).alias("label"), value.alias("value"), key.alias("key"), before.alias("before"))).otherwise(made)
-    out = spark.range(0, rows, 1, 1).select("id", made.alias("m")).select("m.*", pick("af", filler).alias("after"), pick("pt", ("src1", "src/app.py", "config", "docs/readme", "tests/unit", "")).alias("path"))
-    return out.filter(F.length("value") >= MIN_LENGTH)
+    # In parts, as the code of all kinds together is more than the compiler takes at once.
+    parts = []
+    for at in range(0, len(kinds), KINDS_AT_ONCE):
+        some, made = kinds[at : at + KINDS_AT_ONCE], F
+        for k, (label, value, key, before) in enumerate(some):
+            made = made.when(F.pmod("id", F.lit(len(some))) == k, F.struct(F.lit(label).alias("label"), value.alias("value"), key.alias("key"), before.alias("before")))
+        ids = spark.range(rows * at // len(kinds), rows * (at + len(some)) // len(kinds), 1, 1)
+        parts.append(ids.select(made.alias("m"), pick("af", filler).alias("after"), pick("pt", ("src1", "src/app.py", "config", "docs/readme", "tests/unit", "")).alias("path")).select("m.*", "after", "path"))
+    out = reduce(DataFrame.unionByName, parts).coalesce(1)
+    return out.filter(F.length("value") >= SHORTEST)
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 9):
@@ -163,7 +252,7 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 def findings(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
     """candidates with score, the forest's probability of a secret."""
     model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled)
-    scored = model.transform(features(candidates(docs, path)))
+    scored = model.transform(features(candidates(docs, path, everywhere=True)))
     return scored.select("doc_id", "word_at", "value", "key", "before", "after", "path", vector_to_array("p")[1].alias("score"))
 
 
@@ -173,18 +262,21 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 
 def mask(text: Column, values: Column) -> Column:
-    """text with each of the values replaced by MASK, longer ones first so that none leaves a rest."""
+    """text with each of the values replaced by MASK, longer ones first so that none leaves a rest; values of fewer than
+    MIN_LENGTH characters only where no letter or digit goes on, as they may be parts of other words."""
+    whole = lambda v: F.concat(F.lit("(?<![A-Za-z0-9])"), _literal(v), F.lit("(?![A-Za-z0-9])"))
     longest = F.array_sort(values, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.aggregate(longest, text, lambda t, v: F.replace(t, v, F.lit(MASK)))
+    return F.aggregate(longest, text, lambda t, v: F.when(F.length(v) >= MIN_LENGTH, F.replace(t, v, F.lit(MASK))).otherwise(F.regexp_replace(t, whole(v), F.lit(MASK))))
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """All rows of docs with the secrets of their texts masked and n_chars, where there is such a column, following.
 
-    Rows are told apart by id and text, so repeated ids keep their own findings. Only rows with a candidate meet the
+    Rows are told apart by id and text, so repeated ids keep their own findings. Only rows that may have a candidate meet the
     findings; the others pass by, so most texts are never shuffled.
     """
-    may = F.coalesce(F.exists(F.split(F.col("text").cast("string"), _GAP), _worth), F.lit(False))
+    text = F.col("text").cast("string")
+    may = F.coalesce(text.rlike(_TOLD) | F.exists(F.split(text, _GAP), _worth), F.lit(False))
     keyed = docs.filter(may).withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     source = [c for c in ("source",) if c in docs.columns]
     found = findings(keyed.select(F.col("_row").alias("doc_id"), "text", *source), labelled).filter(F.col("score") >= THRESHOLD)
