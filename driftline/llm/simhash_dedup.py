@@ -82,14 +82,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, fp) for each row of docs; fp is the fingerprint as a signed long."""
+    """One row (id, fp, row) for each row of docs: the fingerprint as a signed long and a hash of all columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], names=["id", "fp", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(*docs.columns).alias("row"))
+    return some.mapInArrow(run, "id long, fp long, row long")
 
 
 def _signed(x: int) -> int:
@@ -166,12 +167,8 @@ def link_hot(hot: DataFrame) -> DataFrame:
     return close.unionByName(_meet(hot, rest))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """(id, fp, component_id) for each row of docs: the fingerprint as a signed long and the smallest id that links reach.
-
-    Null texts are empty texts; rows that repeat an id keep one result row each; rows with a null id get the component
-    of their fingerprint, or null where only null ids reach it. An empty table gives an empty result.
-    """
+def _labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """(id, fp, row, c, component_id) for each row of docs; c tells components apart that share their smallest id."""
     rows = checkpointed(with_fingerprint(docs, id_col, text_col))
     fps = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first")))
     edges, hot = links(fps.select("fp"), pair_limit)
@@ -182,9 +179,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = connected_components(edges)
     labels = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     firsts = labels.groupBy("c").agg(F.min("first").alias("component_id"))
-    of_fp = labels.join(firsts, "c").select("fp", "component_id")
+    of_fp = labels.join(firsts, "c").select("fp", "c", "component_id")
     # A fingerprint that a third of the rows share is met by a broadcast or a split join; of_fp has one row each.
-    return rows.join(of_fp, "fp").select("id", "fp", "component_id")
+    return rows.join(of_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """(id, fp, component_id) for each row of docs: the fingerprint as a signed long and the smallest id that links reach.
+
+    Null texts are empty texts; rows that repeat an id keep one result row each; rows with a null id get the component
+    of their fingerprint, or null where only null ids reach it. An empty table gives an empty result.
+    """
+    return _labelled(docs, id_col, text_col, pair_limit).select("id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -197,10 +203,12 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates the rows with the smallest id; of rows that repeat that id, one.
+    """Of each group of near-duplicates one row: of those with the smallest id, the one with the smallest hash of its columns.
 
-    Rows without an id form no group that could be told apart, so they all stay.
+    Rows that share an id but not a group all stay, as do rows without an id, which form no group that could be told apart.
     """
-    found = near_duplicates(docs).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    first = _labelled(docs).filter(F.col("id") == F.col("component_id"))
+    found = first.groupBy("c").agg(F.min_by(F.struct("id", "row"), "row").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.row").alias("_row"))
+    named = docs.filter(F.col("doc_id").isNotNull()).select("*", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(*docs.columns).alias("_row"))
+    kept = named.join(found, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"])
+    return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -93,3 +93,12 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 7]
     assert S.simhash_near_dedup(docs.filter("false")).count() == 0
     assert docs.select(S.hex_fingerprint(F.lit(10)).alias("h")).first().h == "000000000000000a"
+
+
+def test_rows_that_share_an_id_but_not_a_text_all_stay(spark):
+    # The second text of id 1 is the first of its own group, which id 4 belongs to.
+    rows = [(1, "a b c d e", "s"), (1, "p q r s t u", "s"), (1, "p q r s t u", "s"), (1, "k l m n", "s"), (4, "p q r s t u", "s"), (5, "a b c d e", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = S.keep_first(docs.repartition(4))
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e"), (1, "k l m n"), (1, "p q r s t u")]
