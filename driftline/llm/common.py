@@ -17,14 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
+    """The cluster names a shared folder in spark.checkpoint.dir. A local one is made where that is unset and the session runs
+    in one process, as in tests; on a cluster an unset folder raises, as executors could not read what is written."""
     sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-checkpoint-"))
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
