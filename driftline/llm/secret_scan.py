@@ -6,17 +6,18 @@ more that a secret's name and a sign of assignment stand before, in the word or
 in the two words before it, whatever their characters; and the credentials in
 addresses (//user:password@host). With each goes the key written before it and
 the two words before and the one after. Features: length, digits, capitals,
-hexadecimal digits, distinct characters, changes between small letters, capitals
-and digits, the share of characters that dictionary words cover, separators, a
+hexadecimal digits, distinct characters, transitions between small letters,
+capitals and digits and between vowels and consonants, the share of characters that dictionary words cover, separators, a
 known prefix, what the neighbouring words and the key say for or against a
 secret, and whether the path names tests or examples.
 
 The forest (Spark's own, DataFrame API) learns from labelled findings with the
 columns of ``candidates`` and ``label``. Where a caller has none,
-``labelled_findings`` makes FINDINGS of them from a seeded rule: keys and
-passwords as providers form them, against commits, checksums, ids, versions,
-paths, addresses, dates, card and phone numbers, placeholders and words with
-digits. What is trained does not depend on the documents.
+``labelled`` makes some by a seeded rule. What is trained does not depend on the
+documents.
+
+Words are only looked at in texts that ``may_hold`` a candidate, a test of whole
+texts that every text with a candidate passes.
 
 Null and empty texts have no candidates; rows are scanned one by one, whole, and
 repeated ones give repeated findings.
@@ -24,56 +25,69 @@ repeated ones give repeated findings.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import unused
+from driftline.llm.labelled import labelled_findings
+
 MIN_LENGTH = 12
 SHORTEST = 4
-FINDINGS = 6000
-KINDS_AT_ONCE = 7
 TREES = 20
 DEPTH = 7
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 #: Words of English and of software that dictionary coverage counts.
-DICTIONARY = (
+DICTIONARY = tuple(
     "password secret token release version update change default example sample test demo image photo file docs report index page article notes"
     " january february march april june july august september october november december street north south east west user admin guest your here"
     " key value name number order item part section chapter model series build patch alpha beta final draft server client local host data base"
-    " hello world admin root welcome login letter summer winter spring autumn monday friday http https www com org net html json yaml"
-    " tion ing ment able ness the and for with that this from"
-).split()
+    " hello world root welcome login letter summer winter spring autumn monday friday http https www com org net html json yaml"
+    " tion ing ment able ness the and for with that this from about after again before below between under other first second third last"
+    " access account address application backup batch board cache center class cloud code common company config content copy country create"
+    " date device download email error event export field folder form group home import input job library license link list load main manager"
+    " media member message method module network note office open output owner package paper party people person phone picture place plan"
+    " process product profile project public query record request resource result review school search service session setting simple site"
+    " size source space staff start state station store study style system table target team template text time title tool total track type"
+    " unit view water week word work year".split()
+)
 _FOR = r"(?i)pass|pwd|secret|token|api|auth|cred|bearer|private|access|key"
 _AGAINST = r"(?i)sha|commit|hash|md5|digest|checksum|uuid|guid|isbn|phone|tel|card|order|invoice|version|build|example|sample|placeholder|dummy|rev|id$"
 _PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk_live_|sk-|AIza|eyJ|glpat-|npm_)"
 _PATH = r"(?i)test|spec|example|sample|fixture|mock|doc"
 _CHANGE = r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"
-FEATURES = ("length", "digits", "capitals", "hex", "distinct", "changes", "coverage", "separators", "prefix", "speaks_for", "speaks_against", "assigned", "all_digits", "path_test")
+_ALTERNATION = r"(?i)[aeiouy](?=[b-df-hj-np-tv-xz])|[b-df-hj-np-tv-xz](?=[aeiouy])"
+FEATURES = ("length", "digits", "capitals", "hex", "distinct", "changes", "alternation", "coverage", "separators", "prefix", "speaks_for", "speaks_against", "assigned", "all_digits", "path_test")
 
 
 _GAP = r"[\x20\x09-\x0D]+"
 
 
 _KEYS = r"(?i:pass|pwd|secret|token|api|auth|cred|bearer|private|access|key)"
-_NAME = rf"[A-Za-z0-9_.-]*{_KEYS}[A-Za-z0-9_.-]*"
+#: What follows a key's word in its name; possessive, as no regular expression here may step back over a long word.
+_REST = r"[A-Za-z0-9_.-]*+"
 _SIGN = r"[\"'`\]\\]*(?:[=:]+>?)"
 _OPEN = r"[(\[{<\\]*"
 #: A quoted value ends at its quote, another one where a list, a query string or a bracket goes on.
 _VALUE = rf"(?:\"[^\"\\]{{{SHORTEST},}}|'[^'\\]{{{SHORTEST},}}|`[^`]{{{SHORTEST},}}|[^\"'`\\,;&<>()\[\]{{}}|]{{{SHORTEST},}})"
-_ASSIGNED = rf"{_NAME}{_SIGN}{_OPEN}({_VALUE})"
-_SPOKEN = rf"(?:{_NAME}[\"'`]* ?[=:]+>?[\"'`(\[{{<]*|\b(?i:bearer))$"
-#: Texts with a word that the words before name as a secret match it; it needs no words by number.
-_TOLD = rf"(?:{_KEYS}[A-Za-z0-9_.-]*[\"'`]*(?:{_GAP})?[=:]+>?[\"'`(\[{{<]*|(?i:bearer)){_GAP}"
+_ASSIGNED = rf"{_KEYS}{_REST}{_SIGN}{_OPEN}({_VALUE})"
+_SPOKEN = rf"(?:{_KEYS}{_REST}[\"'`]* ?[=:]+>?[\"'`(\[{{<]*|\b(?i:bearer))$"
 _LOGIN = r"://(?:[^/:@]*:)?([^/@]+)@"
 _RUN = rf"[A-Za-z0-9+/_~.-]{{{MIN_LENGTH},}}={{0,2}}"
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text may hold a candidate: a run in a word with a digit or a padding sign, a secret's name and a sign of
+    assignment anywhere, or an address with a user. Every text with a candidate passes."""
+    run = text.rlike(r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9=]*+[0-9=])[^\x20\x09-\x0D]*?" + rf"[A-Za-z0-9+/_~.-]{{{MIN_LENGTH}}}")
+    told = (text.contains("=") | text.contains(":")) & text.rlike(_KEYS)
+    return F.coalesce(run | told | text.contains("://") & text.contains("@") | text.rlike("(?i)bearer"), F.lit(False))
+
+
 def _worth(word: Column) -> Column:
     """Whether a word may hold a candidate that no word before it tells."""
     run = (F.length(word) >= MIN_LENGTH) & word.rlike("[0-9=]") & word.rlike(_RUN)
@@ -107,16 +121,14 @@ def _values(word: Column, spoken: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(F.filter(runs, lambda v: word.rlike("[0-9=]")), assigned, login, told), bare))
 
 
-def candidates(docs: DataFrame, path: str = "source", everywhere: bool = False) -> DataFrame:
-    """(doc_id, word_at, value, key, before, after, path): word_at is the number of the word that holds the value.
-
-    Without everywhere only the runs that end their words.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
+    """(doc_id, word_at, value, key, before, after, path): word_at is the number of the word that holds the value."""
+    text = F.col("text").cast("string")
     named = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     # The words come out of a generator, which nothing is merged into: they are split once a text. What a candidate needs
     # of them is taken before the candidates become rows, so that no row carries a text's words.
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(named, F.lit("")).alias("path"), F.explode(F.array(F.split(text, _GAP))).alias("w"))
+    some = docs.filter(may_hold(text))
+    base = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(named, F.lit("")).alias("path"), F.explode(F.array(F.split(text, _GAP))).alias("w"))
     w = F.col("w")
 
     def around(i: Column) -> Column:
@@ -125,13 +137,9 @@ def candidates(docs: DataFrame, path: str = "source", everywhere: bool = False)
 
     near = base.select("doc_id", "path", F.inline(F.transform(_places(w), around)))
     word, value = F.col("word"), F.col("value")
-    if everywhere:
-        found = near.withColumn("value", F.explode(_values(word, F.col("spoken")))).filter(F.length("value") >= SHORTEST)
-    else:
-        last = F.regexp_extract(word, rf"(?:^|[^A-Za-z0-9+/_~.-])({_RUN})[^A-Za-z0-9]*$", 1)
-        found = near.withColumn("value", F.regexp_replace(last, r"\.+$", "")).filter((F.length("value") >= MIN_LENGTH) & word.rlike("[0-9=]"))
+    found = near.withColumn("value", F.explode(_values(word, F.col("spoken")))).filter(F.length("value") >= SHORTEST)
     # The names right before the value, wherever it stands in the word, or else the one that the word begins with.
-    names = F.array_join(F.regexp_extract_all(word, F.concat(F.lit(rf"([A-Za-z][A-Za-z0-9_.-]*){_SIGN}[^A-Za-z0-9+/_~.-]*"), _literal(value)), F.lit(1)), " ")
+    names = F.array_join(F.regexp_extract_all(word, F.concat(F.lit(rf"(?<![A-Za-z0-9_.-])([A-Za-z]{_REST}){_SIGN}[^A-Za-z0-9+/_~.-]*"), _literal(value)), F.lit(1)), " ")
     login = F.when(F.rlike(word, F.concat(F.lit("://(?:[^/:@]*:)?"), _literal(value), F.lit("@"))), "password")
     first = F.regexp_extract(word, r"^[\"'`(<\[{]*([A-Za-z][A-Za-z0-9_.-]*)[\"'`]?[=:]", 1)
     key = F.concat_ws(" ", F.when(names != "", names).otherwise(first), login)
@@ -153,6 +161,7 @@ def features(found: DataFrame) -> DataFrame:
         .withColumn("hex", share("[0-9a-f]"))
         .withColumn("distinct", F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(36.0)))
         .withColumn("changes", F.size(F.split(v, _CHANGE, -1)) / n)
+        .withColumn("alternation", F.regexp_count(v, F.lit(_ALTERNATION)) / n)
         .withColumn("coverage", share(words))
         .withColumn("separators", share("[^A-Za-z0-9]"))
         .withColumn("prefix", v.rlike(_PREFIX).cast("double"))
@@ -164,84 +173,6 @@ def features(found: DataFrame) -> DataFrame:
     )
 
 
-def labelled_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = 9) -> DataFrame:
-    """Findings with label 1 (a secret) or 0, made by rule; one partition, so that training sees one order."""
-    h = lambda k: F.sha2(F.concat_ws("/", F.lit(seed), F.lit(k), F.col("id").cast("string")), 256)
-    pick = lambda k, items: F.element_at(F.array(*[F.lit(x) for x in items]), (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(len(items))) + 1).cast("int"))
-    num = lambda k, lo, hi: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(hi - lo + 1)) + lo
-    mixed = F.regexp_replace(F.base64(F.unhex(F.concat(h("a"), h("b")))), "[^A-Za-z0-9]", "")
-    cut = lambda col, k, lo, hi: F.substr(col, F.lit(1), num(k, lo, hi).cast("int"))
-    digits = F.regexp_replace(F.concat(h("d"), h("e"), h("f")), "[a-f]", "")
-    word = lambda k: pick(k, DICTIONARY)
-    filler = ("the", "of", "and", "we", "see", "der", "la", "que", "thing", "ontion", "set", "with", "in")
-    plain = F.concat_ws(" ", pick("p1", filler), pick("p2", filler))
-    secret_key = pick("sk", ("password", "passwd", "db_password", "secret", "token", "api_key", "apikey", "auth_token", "access_key", "client_secret", "SECRET_KEY"))
-    spoken = F.concat_ws(" ", secret_key, pick("eq", ("=", ":", "=")))
-    other_key = pick("ok", ("id", "version", "file", "name", "order_id", "sha256", "etag", "url", "path", "ref"))
-    hexes = cut(F.concat(h("x"), h("y")), "hn", 16, 64)
-    uuid = F.regexp_replace(h("u"), r"^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
-    syllable = ("ka", "lo", "mi", "ren", "tus", "ver", "ola", "nt", "ing", "pre", "con", "sta", "dor", "fel", "gu", "hi", "bo", "dy", "se", "qui")
-    made_up = F.concat(*[pick(f"s{k}", syllable) for k in range(2)], pick("s2", (*syllable, *[""] * 10)), pick("s3", (*syllable, *[""] * 20)))
-    letters = F.regexp_replace(mixed, "[0-9]", "")
-    mark = lambda k: pick(k, list("!#$%@*?^&"))
-    date = F.format_string("%d-%02d-%02d", num("y", 1995, 2030), num("m", 1, 12), num("dd", 1, 28))
-    # kind: (label, value, key, before)
-    kinds = [
-        (1, F.concat(pick("akia", ("AKIA", "ASIA")), F.upper(F.substr(mixed, F.lit(1), F.lit(16)))), F.lit(""), plain),
-        (1, F.concat(pick("gh", ("ghp_", "gho_", "glpat-", "npm_", "sk_live_", "xoxb-", "AIza")), cut(mixed, "n1", 24, 40)), F.lit(""), plain),
-        (1, hexes, F.lit(""), spoken),
-        (1, hexes, secret_key, plain),
-        (1, cut(mixed, "n2", 14, 64), secret_key, plain),
-        (1, cut(mixed, "n3", 14, 64), F.lit(""), spoken),
-        (1, F.concat(F.lit("eyJ"), cut(mixed, "n4", 30, 60), F.lit("."), h("j")), F.lit(""), F.concat(F.lit("Authorization: "), F.lit("Bearer"))),
-        (1, F.substr(F.base64(F.unhex(h("b64"))), F.lit(1), F.lit(44)), secret_key, plain),
-        (0, hexes, F.lit(""), F.concat_ws(" ", pick("p1", filler), pick("cm", ("commit", "sha256", "md5", "checksum", "hash", "rev", "digest")))),
-        (0, hexes, pick("hk", ("commit", "sha256", "etag_hash", "checksum")), plain),
-        (0, uuid, F.lit(""), plain),
-        (0, uuid, pick("uk", ("id", "uuid", "request_id")), plain),
-        (0, F.concat(word("w1"), word("w2"), num("n5", 1, 2030).cast("string"), F.lit("placeholder")), secret_key, plain),
-        (0, F.concat(F.lit("your_"), word("w1"), pick("u_", ("_", "-")), F.lit("example"), num("n6", 1, 99).cast("string")), F.lit(""), spoken),
-        (0, F.concat(pick("v", ("v", "release-", "build-")), num("n7", 1, 20).cast("string"), F.lit("."), num("n8", 0, 40).cast("string"), F.lit("."), num("n9", 0, 99).cast("string"), F.lit("-"), word("w3")), other_key, plain),
-        (0, F.concat(word("w1"), F.lit("/"), word("w2"), F.lit("/"), num("n10", 1, 2030).cast("string"), F.lit("/"), word("w3"), F.lit("-"), word("w4"), F.lit(".html")), F.lit(""), plain),
-        (0, F.concat(F.lit("//www."), word("w1"), word("w2"), F.lit(".com/"), word("w3"), num("n11", 1, 9999).cast("string")), F.lit("https"), plain),
-        (0, F.concat(date, F.lit("T"), F.format_string("%02d.%02d.%02dZ", num("hh", 0, 23), num("mi", 0, 59), num("ss", 0, 59))), F.lit(""), plain),
-        (0, cut(digits, "n12", 12, 19), F.lit(""), plain),
-        (0, cut(digits, "n13", 12, 16), other_key, plain),
-        (0, F.concat(word("w1"), word("w2"), word("w3"), num("n14", 1, 999).cast("string")), F.lit(""), plain),
-        (0, F.concat(word("w1"), num("n15", 1, 99).cast("string"), word("w2"), F.lit("_"), word("w3")), F.lit(""), plain),
-        (0, F.concat(word("w1"), F.lit("."), word("w2"), num("n16", 1, 99).cast("string"), F.lit("."), word("w3"), F.lit(".com")), F.lit(""), F.concat_ws(" ", pick("p1", filler), F.lit("mail:"))),
-        (0, F.concat(F.lit("555-"), F.substr(digits, F.lit(1), F.lit(3)), F.lit("-"), F.substr(digits, F.lit(4), F.lit(4))), F.lit(""), F.concat_ws(" ", pick("p1", filler), pick("ph", ("phone", "tel", "call")))),
-        (1, cut(mixed, "n17", 6, 13), secret_key, plain),
-        (1, F.concat(cut(mixed, "n18", 5, 12), num("n19", 0, 9).cast("string")), F.lit(""), spoken),
-        (1, cut(letters, "n20", 14, 34), secret_key, plain),
-        (1, F.lower(cut(letters, "n21", 14, 34)), secret_key, plain),
-        (1, F.lower(cut(letters, "n22", 14, 34)), F.lit(""), spoken),
-        (1, F.concat(F.initcap(pick("pw", (*DICTIONARY[:60], *syllable))), mark("k1"), num("n23", 1, 9999).cast("string"), mark("k2"), cut(letters, "n24", 1, 6)), secret_key, plain),
-        (1, F.concat(cut(mixed, "n25", 2, 6), mark("k3"), F.substr(mixed, F.lit(9), F.lit(4)), mark("k4")), F.lit(""), spoken),
-        (1, F.concat(made_up, num("n26", 1, 9999).cast("string"), pick("k5", ("", "", "!"))), secret_key, plain),
-        (0, word("w5"), secret_key, plain),
-        (0, made_up, F.lit(""), spoken),
-        (0, made_up, secret_key, plain),
-        (0, F.concat(made_up, pick("ms", syllable), pick("mt", syllable)), F.lit(""), spoken),
-        (0, pick("no", ("true", "false", "null", "None", "undefined", "required", "optional", "changeme", "xxxxxxxx", "********", "****", "......", "${PASSWORD}", "$TOKEN", "<password>", "{{secret}}", "process.env.TOKEN", "os.environ", "getenv", "string", "hidden", "redacted", "[SECRET]", "-----")), secret_key, plain),
-        (0, pick("no", ("true", "false", "null", "None", "undefined", "required", "optional", "changeme", "xxxxxxxx", "********", "****", "......", "${PASSWORD}", "$TOKEN", "<password>", "{{secret}}", "process.env.TOKEN", "os.environ", "getenv", "string", "hidden", "redacted", "[SECRET]", "-----")), F.lit(""), spoken),
-        (0, cut(digits, "n27", 4, 10), pick("dk", ("key", "access", "api", "token_count", "max_tokens", "keyboard")), plain),
-        (0, F.concat(F.lit("/"), word("w6"), F.lit("/"), made_up, F.lit("."), pick("ex", ("pem", "txt", "json", "key"))), pick("fk", ("token_file", "key_path", "secret_file")), plain),
-        (0, F.concat(made_up, pick("ms", syllable), pick("mt", syllable), F.lit("."), num("n28", 1, 99).cast("string")), F.lit(""), plain),
-        (0, F.concat(pick("ho", ("mail", "db", "www", "api")), num("n29", 1, 9).cast("string"), F.lit("."), made_up, pick("tl", (".com", ".org", ".net/prod", ".com/cb"))), pick("hk2", ("", "", "https", "host")), plain),
-    ]
-    # In parts, as the code of all kinds together is more than the compiler takes at once.
-    parts = []
-    for at in range(0, len(kinds), KINDS_AT_ONCE):
-        some, made = kinds[at : at + KINDS_AT_ONCE], F
-        for k, (label, value, key, before) in enumerate(some):
-            made = made.when(F.pmod("id", F.lit(len(some))) == k, F.struct(F.lit(label).alias("label"), value.alias("value"), key.alias("key"), before.alias("before")))
-        ids = spark.range(rows * at // len(kinds), rows * (at + len(some)) // len(kinds), 1, 1)
-        parts.append(ids.select(made.alias("m"), pick("af", filler).alias("after"), pick("pt", ("src1", "src/app.py", "config", "docs/readme", "tests/unit", "")).alias("path")).select("m.*", "after", "path"))
-    out = reduce(DataFrame.unionByName, parts).coalesce(1)
-    return out.filter(F.length("value") >= SHORTEST)
-
-
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 9):
     """A fitted forest over FEATURES."""
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, rawPredictionCol="raw", probabilityCol="p", predictionCol="predicted")
@@ -251,8 +182,8 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
     """candidates with score, the forest's probability of a secret."""
-    model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled)
-    scored = model.transform(features(candidates(docs, path, everywhere=True)))
+    model = train(labelled_findings(docs.sparkSession, DICTIONARY) if labelled is None else labelled)
+    scored = model.transform(features(candidates(docs, path)))
     return scored.select("doc_id", "word_at", "value", "key", "before", "after", "path", vector_to_array("p")[1].alias("score"))
 
 
@@ -275,17 +206,17 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     Rows are told apart by id and text, so repeated ids keep their own findings. Only rows that may have a candidate meet the
     findings; the others pass by, so most texts are never shuffled.
     """
-    text = F.col("text").cast("string")
-    may = F.coalesce(text.rlike(_TOLD) | F.exists(F.split(text, _GAP), _worth), F.lit(False))
-    keyed = docs.filter(may).withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+    row, held = unused(docs, "row"), unused(docs, "secrets")
+    may = may_hold(F.col("text").cast("string"))
+    keyed = docs.filter(may).withColumn(row, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     source = [c for c in ("source",) if c in docs.columns]
-    found = findings(keyed.select(F.col("_row").alias("doc_id"), "text", *source), labelled).filter(F.col("score") >= THRESHOLD)
+    found = findings(keyed.select(F.col(row).alias("doc_id"), "text", *source), labelled).filter(F.col("score") >= THRESHOLD)
     # The distinct secrets of one text: no other row's data meets them.
-    secrets = found.groupBy(F.col("doc_id").alias("_row")).agg(F.collect_set("value").alias("_secrets"))
-    out = keyed.join(secrets, "_row", "left")
-    masked = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("_secrets")))
-    out = out.withColumn("text", masked)
+    secrets = found.groupBy(F.col("doc_id").alias(row)).agg(F.collect_set("value").alias(held))
+    out = keyed.join(secrets, row, "left")
+    none = F.col(held).isNull()
+    out = out.withColumn("text", F.when(none, F.col("text")).otherwise(mask(F.col("text"), F.col(held))))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
     return out.select(docs.columns).unionByName(docs.filter(~may))
