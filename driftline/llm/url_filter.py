@@ -18,7 +18,11 @@ url's path starts with the rule's; of those that fit, the longest decides
 Edges are aggregated by pair of hosts before any rank moves. A node whose links
 exceed DEGREE_SPLIT is cut into that many parts for the join, with its rank
 sent to each, and ranks are summed before the shuffle, so a very popular host is
-no hot spot. Each round is written to the shared checkpoint folder.
+no hot spot. Each round is written to the shared checkpoint folder. Rounds go on
+until no host's distrust moves by more than TOLERANCE and the moves of all trust
+add up to no more: as each round shrinks these by DAMPING, later rounds could
+change a host's distrust by 0.006 at most, and 0.006 of all trust. Trust that
+reaches a host without links of its own ends there.
 
 Null urls, and urls without ``://``, have an empty host and path, fit no rule
 and are allowed. A null html has no links. Each row is judged on its own.
@@ -35,7 +39,8 @@ from driftline.llm.common import ascii_lower, checkpointed
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_RULES = 1000
 DAMPING = 0.85
-ROUNDS = 8
+TOLERANCE = 0.001
+MOST_ROUNDS = 400
 THRESHOLD = 0.3
 DEGREE_SPLIT = 20_000
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
@@ -75,8 +80,8 @@ def _split(edges: DataFrame, end: str, other: str, part: str) -> DataFrame:
     return edges.join(degree.filter("parts > 1"), end, "left").withColumn(part, F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust). seeds: (host, trusted, blocked) for every host of the pages, the flags 0 or 1."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust), settled up to tolerance. seeds: (host, trusted, blocked) for every host of the pages, the flags 0 or 1."""
     ends = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host")))
     nodes = checkpointed(seeds.unionByName(ends.select("host", F.lit(0).alias("trusted"), F.lit(0).alias("blocked"))).groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked")))
     n_trusted = nodes.agg(F.sum("trusted").alias("n")).first().n or 0
@@ -87,23 +92,28 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     edges = checkpointed(_split(_split(edges, "src", "dst", "of_src"), "dst", "src", "of_dst"))
     parts = edges.groupBy(F.col("src").alias("host")).agg((F.max("of_src") + 1).alias("out_parts")).join(edges.groupBy(F.col("dst").alias("host")).agg((F.max("of_dst") + 1).alias("in_parts")), "host", "full")
     parts = checkpointed(parts)
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         r = ranks.join(parts, "host", "left")
         giving = r.filter("trust > 0 and out_parts is not null").select(F.col("host").alias("src"), "trust", F.explode(F.expr("sequence(0, out_parts - 1)")).alias("of_src"))
         warned = r.filter("distrust > 0 and in_parts is not null").select(F.col("host").alias("dst"), "distrust", F.explode(F.expr("sequence(0, in_parts - 1)")).alias("of_dst"))
         zero = F.lit(0.0)
-        given = edges.join(giving, ["src", "of_src"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("share")).alias("t"), zero.alias("d"), F.lit(0).alias("trusted"), F.lit(0).alias("blocked"))
-        back = edges.join(warned, ["dst", "of_dst"]).select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") * F.col("share")).alias("d"), F.lit(0).alias("trusted"), F.lit(0).alias("blocked"))
-        own = nodes.select("host", zero.alias("t"), zero.alias("d"), "trusted", "blocked")
-        met = own.unionByName(given).unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"), F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked"))
+        other = [F.lit(0).alias("trusted"), F.lit(0).alias("blocked"), zero.alias("was_t"), zero.alias("was_d")]
+        given = edges.join(giving, ["src", "of_src"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("share")).alias("t"), zero.alias("d"), *other)
+        back = edges.join(warned, ["dst", "of_dst"]).select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") * F.col("share")).alias("d"), *other)
+        own = ranks.select("host", zero.alias("t"), zero.alias("d"), "trusted", "blocked", F.col("trust").alias("was_t"), F.col("distrust").alias("was_d"))
+        most = [F.max(c).alias(c) for c in ("trusted", "blocked", "was_t", "was_d")]
+        met = own.unionByName(given).unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"), *most)
         trust = (1 - DAMPING) * F.col("trusted") / max(1, n_trusted) + DAMPING * F.col("t")
         distrust = F.when(F.col("blocked") == 1, F.lit(1.0)).otherwise(DAMPING * F.col("d"))
-        ranks = checkpointed(met.select("host", "trusted", "blocked", trust.alias("trust"), distrust.alias("distrust")))
-    return ranks.select("host", "trust", "distrust")
+        moves = [F.abs(trust - F.col("was_t")).alias("move_t"), F.abs(distrust - F.col("was_d")).alias("move_d")]
+        ranks = checkpointed(met.select("host", "trusted", "blocked", trust.alias("trust"), distrust.alias("distrust"), *moves))
+        if max(ranks.agg(F.sum("move_t"), F.max("move_d")).first()) <= tolerance:
+            return ranks.select("host", "trust", "distrust")
+    raise RuntimeError("ranks did not settle")
 
 
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, distrust), one row for each row of pages."""
+    """(page_id, host, path, rule, verdict), one row for each row of pages."""
     url = F.col("url").cast("string")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
     ruled = base.select("page_id", "host", "path", best_rule(F.col("host"), F.col("path"), rules).alias("r"))

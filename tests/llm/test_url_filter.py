@@ -46,11 +46,41 @@ def test_ranks_equal_brute_force(spark, monkeypatch):
     trusted, blocked = {"h1", "h2"}, {"h3"}
     t = {h: (h in trusted) / 2 for h in hosts}
     d = {h: float(h in blocked) for h in hosts}
-    for _ in range(U.ROUNDS):
+    for _ in range(200):
         t, d = ({h: 0.15 * (h in trusted) / 2 + 0.85 * sum(t[a] * s for (a, b), s in share.items() if b == h) for h in hosts},
                 {h: 1.0 if h in blocked else 0.85 * sum(d[b] * s for (a, b), s in share.items() if a == h) for h in hosts})
     edges = spark.createDataFrame([(a, b, s) for (a, b), s in share.items()], "src string, dst string, share double")
     seeds = spark.createDataFrame([(h, int(h in trusted), int(h in blocked)) for h in hosts], "host string, trusted int, blocked int")
-    got = {x.host: (round(x.trust, 9), round(x.distrust, 9)) for x in U.propagate(edges, seeds).collect()}
-    assert got == {h: (round(t[h], 9), round(d[h], 9)) for h in hosts}
+    near = {x.host: (x.trust, x.distrust) for x in U.propagate(edges, seeds).collect()}
+    assert all(abs(near[h][1] - d[h]) <= 0.006 for h in hosts) and sum(abs(near[h][0] - t[h]) for h in hosts) <= 0.006
+    got = {x.host: (round(x.trust, 6), round(x.distrust, 6)) for x in U.propagate(edges, seeds, tolerance=1e-9).collect()}
+    assert got == {h: (round(t[h], 6), round(d[h], 6)) for h in hosts}
     assert edges.agg(F.count("*").alias("n")).first().n == len(share)
+
+
+def test_distrust_goes_down_long_chains(spark):
+    chain = [f"c{i}" for i in range(14)]
+    edges = spark.createDataFrame([(b, a, 1.0) for a, b in zip(chain, chain[1:])], "src string, dst string, share double")
+    seeds = spark.createDataFrame([("c0", 0, 1)], "host string, trusted int, blocked int")
+    got = {r.host: r.distrust for r in U.propagate(edges, seeds).collect()}
+    assert all(abs(got[f"c{i}"] - 0.85**i) < 0.006 for i in range(14))
+
+
+def test_the_sql_form_on_linked_pages(spark, tmp_path):
+    import duckdb
+
+    from driftline.llm.queries import oracle_sql
+
+    r = random.Random(4)
+    hosts = [f"{n}.{tld}" for n in "abcdefgh" for tld in ("com", "example.net", "example.com", "org")]
+    rows = []
+    for i in range(160):
+        links = "".join(f"<a class=x href='https://{r.choice(hosts).upper()}/p'>t</a> <a href=/own>o</a>" for _ in range(r.randint(0, 4)))
+        rows.append((i if i % 30 else 5, None if i % 41 == 0 else f"http://{r.choice(hosts)}/{r.choice(['en/', 'de/', 'fr/', ''])}{i}", None if i % 37 == 0 else links))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = con.execute(oracle_sql()["op4_url_filter"]).fetchall()
+    got = [tuple(x) for x in U.url_filter(pages).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({v for *_, rule, v in got if rule is None}) == 2
