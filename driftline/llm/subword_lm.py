@@ -9,25 +9,36 @@ at most one. The scores that the vocabulary file states come from other texts;
 one round of expectation maximisation over the distinct words of all training
 rows adapts them.
 
-Words that training has seen are mostly better known by their counts, so a
-token's probability is
-``max(c - D, 0) / N + (D V / N) lattice(word)`` with the discount
-``D = n1 / (n1 + 2 n2)`` of words seen once and twice (0.5 where either is
-missing): what the discount takes from the counts is what the lattice shares out.
-The end has no lattice and keeps its share of the counts. A document's score is
-the sum over its tokens: segmentations do not cross words, so that is the log of
-its marginal probability.
+A word that training has seen is a piece of its own beside the vocabulary's, and
+a word that the text has had before may also be a repeat. So at each word three
+ways are summed:
+
+* the word as a whole, ``max(c - D, 0) / N`` with the discount
+  ``D = n1 / (n1 + 2 n2)`` of words seen once and twice (0.5 where either is
+  missing),
+* its segmentations, ``(D V / N) lattice(word)``: what the discount takes from
+  the counts is what the lattice shares out,
+* a repeat, with the weight ``r = REPEAT m / (m + REPEAT_AT)`` after m words: the
+  word's share of the m words before it; the other two weigh 1 - r.
+
+The end has no lattice and keeps its share of the counts. These sum to at most one
+over all words, given the words before, so a document's score, their sum of
+logarithms, is the log of its marginal probability: no segmentation crosses words.
+The repeat's two constants are fixed; on samples of every size that was tried the
+held-out score hardly moved between 0.2 and 0.5, and 50 and 200.
 
 Plan. Words are counted over all rows with one pre-aggregated row a word and
 task. Documents are then dealt into groups of bounded size by a hash; each
 group's distinct words meet the scored words, come back to the group's texts and
-are looked up there. No task sees a word's documents together, so frequent words
-make no hot spot, and tokens are never shuffled one by one.
+are looked up there. No task sees a word's documents together and tokens are
+never shuffled one by one. A frequent word meets one row a group there, on one
+key; the join is a plain inner one, which Spark splits by the rows' tasks.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,10 +54,11 @@ from driftline.llm.unigram import DEFAULT_PATH, SPACE, Vocabulary, load_vocabula
 FLUSH = 300_000
 #: Tokens that a group of documents is meant to hold.
 GROUP_TOKENS = 1_000_000
-#: Words longer than this are not used to adapt the vocabulary's scores; they are scored in full.
-LEARN_CHARS = 64
-#: Words whose lattices are computed together.
+#: Words whose lattices are computed together, and the length from which a word is computed alone, by the same recursion.
 BATCH = 2000
+ALONE = 65
+REPEAT = 0.3
+REPEAT_AT = 50
 STOP_WEIGHT = math.log(0.2)
 END = ""
 
@@ -65,7 +77,7 @@ class Lattice:
 
     def plain(self, word: str) -> bool:
         """Whether a word's lattice has pieces alone, so that it can be computed beside other words."""
-        return self.apart and len(word) <= LEARN_CHARS and SPACE not in word and self.single.issuperset(word)
+        return self.apart and len(word) < ALONE and SPACE not in word and self.single.issuperset(word)
 
     def batch(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Edges of many plain words at once, by end within the word: (node at the start, node at the end, piece,
@@ -141,67 +153,79 @@ class Lattice:
         into += np.bincount(piece, uses, len(into))
         into[-1] += len(some)
 
-    def edges(self, marked: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end the edges (start, log-probability, piece ids); a character without a piece is its bytes."""
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(marked) + 1)]
+    def edges(self, marked: str) -> Iterator[tuple[int, int, int, float]]:
+        """(start, end, piece, log-probability) by end; piece -1 stands for the bytes of a character that is no piece."""
         logp = self.logp
+        bare = (at for at, c in enumerate(marked) if c not in self.single)
+        at = next(bare, None)
         for last, (size, i) in self.automaton.iter(marked):
-            out[last + 1].append((last + 1 - size, logp[i], (i,)))
-        if not self.single.issuperset(marked):
-            for at, c in enumerate(marked):
-                if c not in self.single:
-                    ids = tuple(self.n + b for b in c.encode("utf-8", "surrogatepass"))
-                    out[at + 1].append((at, sum(logp[i] for i in ids), ids))
-        return out
+            while at is not None and at <= last:
+                yield at, at + 1, -1, self._spelled(marked[at])
+                at = next(bare, None)
+            yield last + 1 - size, last + 1, i, logp[i]
+        while at is not None:
+            yield at, at + 1, -1, self._spelled(marked[at])
+            at = next(bare, None)
+
+    def _bytes(self, c: str) -> list[int]:
+        return [self.n + b for b in c.encode("utf-8", "surrogatepass")]
+
+    def _spelled(self, c: str) -> float:
+        return sum(self.logp[i] for i in self._bytes(c))
+
+    def _alphas(self, marked: str, note=None) -> list[float]:
+        """The forward recursion of one word; each edge goes to note."""
+        alpha = [0.0] + [-math.inf] * len(marked)
+        now, terms = 0, []
+        for start, end, piece, p in self.edges(marked):
+            if end != now:
+                if now:
+                    alpha[now] = _log_sum(terms)
+                now, terms = end, []
+            terms.append(alpha[start] + p)
+            if note:
+                note(start, end, piece, p)
+        alpha[now] = _log_sum(terms)
+        return alpha
 
     def log_probability(self, word: str) -> float:
         """Natural log of the sum over all segmentations of the word, by the forward recursion in log space."""
-        marked = SPACE + word
-        n = len(marked)
-        logp, exp, log = self.logp, math.exp, math.log
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
-        if not self.single.issuperset(marked):
-            for end, edges in enumerate(self.edges(marked)):
-                if edges:
-                    terms = [alpha[a] + p for a, p, _ in edges]
-                    top = max(terms)
-                    alpha[end] = top + log(sum(exp(t - top) for t in terms))
-            return alpha[n] + logp[-1]
-        at, terms = 0, []
-        for last, (size, i) in self.automaton.iter(marked):
-            if last != at:
-                top = max(terms)
-                alpha[at + 1] = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
-                at, terms = last, []
-            terms.append(alpha[last + 1 - size] + logp[i])
-        top = max(terms)
-        return top + log(sum([exp(t - top) for t in terms])) + logp[-1]
+        return self._alphas(SPACE + word)[-1] + self.logp[-1]
 
     def expected(self, word: str, into: np.ndarray) -> None:
-        """Add the expected number of uses of each piece in the word's segmentations."""
+        """Add the expected number of uses of each piece in the word's segmentations, in log space too."""
         marked = SPACE + word
-        edges = self.edges(marked)
+        starts, ends, pieces, weights = array("i"), array("i"), array("i"), array("d")
+
+        def note(start: int, end: int, piece: int, p: float) -> None:
+            starts.append(start)
+            ends.append(end)
+            pieces.append(piece)
+            weights.append(p)
+
+        alpha = self._alphas(marked, note)
         n = len(marked)
-        exp = math.exp
-        fwd, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        by_end = [[(a, exp(p), ids) for a, p, ids in es] for es in edges]
-        for end in range(1, n + 1):
-            fwd[end] = sum([fwd[a] * p for a, p, _ in by_end[end]])
-        for end in range(n, 0, -1):
-            b = back[end]
-            for a, p, _ in by_end[end]:
-                back[a] += p * b
-        if fwd[n] <= 0:
-            return
-        for end in range(1, n + 1):
-            b = back[end] / fwd[n]
-            for a, p, ids in by_end[end]:
-                for i in ids:
-                    into[i] += fwd[a] * p * b
+        order = np.argsort(-np.frombuffer(starts, np.int32), kind="stable").tolist()
+        beta = [-math.inf] * n + [0.0]
+        now, terms = n, []
+        for k in order:  # by start, backwards: what leaves a node is known before what comes into it
+            if starts[k] != now:
+                if terms:
+                    beta[now] = _log_sum(terms)
+                now, terms = starts[k], []
+            terms.append(beta[ends[k]] + weights[k])
+        for start, end, piece, p in zip(starts, ends, pieces, weights):
+            uses = math.exp(alpha[start] + p + beta[end] - alpha[n])
+            for i in [piece] if piece >= 0 else self._bytes(marked[start]):
+                into[i] += uses
         into[-1] += 1
 
 
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum([math.exp(t - top) for t in terms])) if len(terms) > 1 and top > -math.inf else top
+
+
 def normalised(vocabulary: Vocabulary) -> list[float]:
     """The vocabulary's scores beside the byte pieces and the stop, as log-probabilities that sum to one."""
     raw = [*vocabulary.scores, *[vocabulary.unknown] * 256]
@@ -217,6 +241,20 @@ def adapted(vocabulary: Vocabulary, expected: np.ndarray) -> list[float]:
     return np.log(p / p.sum()).tolist()
 
 
+def with_repeats(logp: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """log10 probabilities of a document's tokens with repeats: logp without them, word tells equal tokens."""
+    m = np.arange(len(word))
+    order = np.argsort(word, kind="stable")
+    runs = np.flatnonzero(np.concatenate([[True], np.diff(word[order]) != 0]))
+    before = np.empty(len(word), np.int64)  # how often the token came before
+    before[order] = m - np.repeat(runs, np.diff(np.append(runs, len(word))))
+    r = REPEAT * m / (m + REPEAT_AT)
+    out = np.log1p(-r) + logp * math.log(10)
+    again = before > 0
+    out[again] = np.logaddexp(out[again], np.log(r[again] * before[again] / m[again]))
+    return out / math.log(10)
+
+
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
@@ -266,7 +304,7 @@ def adapt(words_table: DataFrame, vocabulary: Vocabulary) -> list[float]:
         at = np.flatnonzero(into)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(into[at], pa.float64())], names=["piece", "uses"])
 
-    learn = words_table.filter((F.col("c") > 0) & (F.col("word") != END) & (F.length("word") <= LEARN_CHARS)).select("word")
+    learn = words_table.filter((F.col("c") > 0) & (F.col("word") != END)).select("word")
     expected = np.zeros(len(vocabulary.pieces) + 257)
     for r in learn.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
         expected[r.piece] = r.uses
@@ -288,10 +326,10 @@ def lattice_scores(words_table: DataFrame, vocabulary: Vocabulary, logp: list[fl
 
 
 def lm_scores(docs: DataFrame, path: str = DEFAULT_PATH, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """The contract's rows, and lattice_score: the log10 probability of the words by the lattice alone.
+    """The contract's rows, and lattice_score: the log10 probability of the words by the vocabulary's segmentations alone.
 
-    One row for each row of docs. A null or empty text is an end alone. Without training rows the lattice alone
-    gives the score. An empty table gives no rows.
+    One row for each row of docs. A null or empty text is an end alone. Without training rows the segmentations and the
+    repeats give the score. An empty table gives no rows.
     """
     vocabulary = load_vocabulary(path)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -345,16 +383,13 @@ def lm_scores(docs: DataFrame, path: str = DEFAULT_PATH, group_tokens: int = GRO
             p[end] = math.log10(counted[end]) if counted[end] > 0 else (add_one[end] if n else 0.0)
         # A discount of nothing leaves the unseen words the share that adding one would.
         p = np.where(np.isfinite(p), p, add_one)
-        columns = [count > 0, add_one, p, lattice / math.log(10)]
         out: list[list] = [[], [], [], [], []]
         for text in left.column("text"):
             tokens = [*words(text.as_py()), b""]
             idx = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
-            out[0].append(len(tokens))
-            for x, col in zip(out[1:], columns):
-                x.append(col[idx].sum())
-        arrays = [left.column("doc_id"), left.column("held_out"), pa.array(out[0], pa.int64()), pa.array([int(x) for x in out[1]], pa.int64())]
-        arrays += [pa.array([float(x) for x in xs], pa.float64()) for xs in out[2:]]
+            for x, value in zip(out, (len(tokens), int((count[idx] > 0).sum()), add_one[idx].sum(), with_repeats(p[idx], idx).sum(), lattice[idx].sum() / math.log(10))):
+                x.append(value)
+        arrays = [left.column("doc_id"), left.column("held_out"), *[pa.array(x, pa.int64()) for x in out[:2]], *[pa.array([float(v) for v in x], pa.float64()) for x in out[2:]]]
         return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "lattice_score"])
 
     got = dealt.groupBy("g").cogroup(looked_up.groupBy("g")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double")

@@ -46,6 +46,28 @@ def test_words_together_equal_words_alone():
     assert all_ == pytest.approx(one, abs=1e-9) and all_[-1] == len(some)
 
 
+def test_long_words_teach_and_nothing_underflows():
+    import numpy as np
+
+    lattice = M.Lattice(load_vocabulary())
+    for word in ["🙂" * 9, "日本語" * 40, "thing" * 100, "x" * 5000]:
+        uses = np.zeros(lattice.n + 257)
+        lattice.expected(word, uses)
+        # What is used spells the word: pieces by their characters, bytes by theirs.
+        chars = sum(u * len(p) for u, p in zip(uses, lattice.vocabulary.pieces))
+        spelled = uses[lattice.n : -1].sum() / len(word[0].encode())
+        assert chars + spelled == pytest.approx(len(word) + 1, rel=1e-6) and uses[-1] == 1
+
+
+def test_repeats_make_a_probability():
+    import numpy as np
+
+    p = np.log10(np.array([0.5, 0.3, 0.2]))
+    for past in ([], [0], [0, 0, 1], [2] * 200):
+        total = sum(10 ** M.with_repeats(p[[*past, w]], np.array([*past, w]))[-1] for w in range(3))
+        assert total == pytest.approx(1)
+
+
 def test_scores_equal_a_plain_computation(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(100001, None), (100002, ""), (None, "the odd ROW"), (100003, "the " * 500), (100003, "the " * 500)], "doc_id long, text string")
@@ -64,7 +86,7 @@ def test_scores_equal_a_plain_computation(spark):
 
     uses = np.zeros(first.n + 257)
     for w in c:
-        if w and len(w.decode()) <= M.LEARN_CHARS:
+        if w:
             first.expected(w.decode(), uses)
     lattice = M.Lattice(vocabulary, M.adapted(vocabulary, uses))
 
@@ -76,7 +98,15 @@ def test_scores_equal_a_plain_computation(spark):
             return math.log10((c[w] - d) / n + d * v / n * math.exp(lat))
         return (math.log(d * v / n) + lat) / math.log(10)
 
-    want = sorted((i or 0, held, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 4), round(sum(map(p, ws)), 4)) for i, ws, held in tokens)
+    def score(ws):
+        out, had = 0.0, Counter()
+        for m, w in enumerate(ws):
+            r = M.REPEAT * m / (m + M.REPEAT_AT)
+            out += math.log10((1 - r) * 10 ** p(w) + r * had[w] / m) if had[w] else math.log10(1 - r) + p(w)
+            had[w] += 1
+        return out
+
+    want = sorted((i or 0, held, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 4), round(score(ws), 4)) for i, ws, held in tokens)
     have = sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got)
     for a, b in zip(want, have, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-5, abs=1e-3)
