@@ -16,6 +16,7 @@ from driftline.functions import text as X
 from driftline.operators import ancestry, extract, graph, research, scoring, signals, validate
 from driftline.operators.forest import components
 from driftline.operators.independence import profile, representatives, weakest_mode
+from driftline.plans.lineage import cut
 from driftline.plans.definitions import SUBJECT_ADJACENCY, THEME_TEMPLATES, rule_rows
 from driftline.plans.vocab import PRIMARY_CLASSES, SOURCE_CLASSES
 from driftline.sources import readers
@@ -56,6 +57,22 @@ CORPUS = (
     (6, ""),
     (7, "DRAM supply is a constraint, orders rose, pricing improved, capacity expansion was announced and a supply agreement signed."),
 )
+_WORDS = [f"w{i}" for i in range(44)]
+#: The fourth text is as near to the second as to the third, which belongs to the cluster that the first founded.
+TIED = (
+    (1, " ".join([*_WORDS[:35], "z", *[f"y{i}" for i in range(8)]])),
+    (2, " ".join([*[f"x{i}" for i in range(8)], *_WORDS[8:]])),
+    (3, " ".join([*_WORDS[:36], *[f"y{i}" for i in range(8)]])),
+    (4, " ".join(_WORDS)),
+)
+ODD_TEXTS = (
+    (1, "ﬁrst ﬂoor № ½ cup, ＦＵＬＬ ｗｉｄｔｈ １２"),
+    (2, "Cafe\u0301 cafe\u0301 CAFÉ x² y₂ ™ ① ⑩ ª º K Å ﷺ"),
+    (3, "İstanbul ĳ ǆ ㎏ 𝐁𝐨𝐥𝐝 𝟙𝟚 Ⅷ"),
+    (4, "  plain  ASCII,\ttext\nwith lines  "),
+    (5, ""),
+    (6, "¿¡…"),
+)
 QUERY_TEXT = "the ontion thing whereas edible reeaux ontion stead"
 
 
@@ -99,8 +116,10 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return signals.theme_metrics(evidence(spark, d), activations(spark, d), weights(spark), GRID, "view")
 
 
-def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return scoring.score(metrics(spark, d).withColumn("exposure_top", F.lit(50.0)))
+def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(metrics, components, totals). The metrics, a row a theme, are used several times and computed once."""
+    m = cut(metrics(spark, d))
+    return m, *scoring.score(m.withColumn("exposure_top", F.lit(50.0)))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -210,16 +229,18 @@ def _q_maturity(s: SparkSession, d: str) -> DataFrame:
 
 
 def _q_score_components(s: SparkSession, d: str) -> DataFrame:
-    return scored(s, d)[0].select("theme", "model", "key", "available", F.round("normalized", 1).alias("normalized"), "effective_weight", F.round("contribution", 1).alias("contribution"))
+    return scored(s, d)[1].select("theme", "model", "key", "available", F.round("normalized", 1).alias("normalized"), "effective_weight", F.round("contribution", 1).alias("contribution"))
 
 
 def _q_score_totals(s: SparkSession, d: str) -> DataFrame:
-    return scored(s, d)[1].select("theme", "model", F.round("value", 1).alias("value"), "weight_coverage", "unavailable")
+    return scored(s, d)[2].select("theme", "model", F.round("value", 1).alias("value"), "weight_coverage", "unavailable")
 
 
 def _wide_scores(s: SparkSession, d: str) -> DataFrame:
-    t = scored(s, d)[1].groupBy("theme").pivot("model", ["trend", "opportunity", "confidence"]).agg(F.first("value"))
-    return t.join(metrics(s, d).select("theme", "acceleration"), "theme")
+    """The metrics of each theme beside its three scores."""
+    m, _, totals = scored(s, d)
+    t = totals.groupBy("theme").pivot("model", ["trend", "opportunity", "confidence"]).agg(F.first("value"))
+    return t.join(m, "theme")
 
 
 def _q_ranking(s: SparkSession, d: str) -> DataFrame:
@@ -227,9 +248,8 @@ def _q_ranking(s: SparkSession, d: str) -> DataFrame:
 
 
 def _q_underappreciated(s: SparkSession, d: str) -> DataFrame:
-    m = metrics(s, d)
     stage = signals.maturity(F.col("independent_sources"), F.col("acceleration"), F.col("mainstream_share"), F.col("market_reaction"), F.col("contradiction_ratio"))
-    staged = m.select("theme", stage.alias("maturity")).join(_wide_scores(s, d), "theme")
+    staged = _wide_scores(s, d).withColumn("maturity", stage)
     early = F.col("maturity").isin("INVALIDATED", "INVISIBLE", "EMERGING", "DEVELOPING", "ACCELERATING")
     return staged.filter(early & (F.col("confidence") >= 50)).select("theme", "maturity", F.round("confidence", 1).alias("confidence"))
 
@@ -294,6 +314,19 @@ def _q_ancestry(s: SparkSession, d: str) -> DataFrame:
     return ancestry.assign(documents(s, d)).select(F.col("document_id").alias("doc_id"), "cluster_key", "method")
 
 
+def _q_tie(s: SparkSession, d: str) -> DataFrame:
+    at = F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int), 0)")
+    docs = s.createDataFrame(list(TIED), "doc_id long, text string")
+    docs = docs.select(F.col("doc_id").alias("document_id"), "text", at.alias("event_at"), at.alias("published_at"), F.lit(40).alias("source_quality"), F.lit(None).cast("string").alias("origin_ref"))
+    return ancestry.assign(docs).select(F.col("document_id").alias("doc_id"), "cluster_key", "method")
+
+
+def _q_odd_texts(s: SparkSession, d: str) -> DataFrame:
+    docs = s.createDataFrame(list(ODD_TEXTS), "doc_id long, text string")
+    n = X.shingles(docs).select("doc_id", F.size("shingles").cast("long").alias("n_shingles"))
+    return docs.select("doc_id", X.normalise(F.col("text")).alias("norm"), X.content_hash(F.col("text")).alias("content_hash")).join(n, "doc_id")
+
+
 def _q_cluster_summary(s: SparkSession, d: str) -> DataFrame:
     docs = documents(s, d)
     mode = F.element_at(F.array(F.lit("LIVE"), F.lit("HISTORICAL"), F.lit("DEMO"), F.lit("UNAVAILABLE")), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -373,6 +406,8 @@ def queries() -> dict[str, Query]:
         "doc_shingle_counts": _q_shingles,
         "doc_near_dup_pairs": _q_near_pairs,
         "doc_ancestry_clusters": _q_ancestry,
+        "ancestry_tie_inline": _q_tie,
+        "normalise_inline": _q_odd_texts,
         "doc_cluster_summary": _q_cluster_summary,
         "sentence_split": _q_sentences,
         "claim_extract_inline": _q_claims_inline,

@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftline.plans.definitions import STOPWORDS
 
 
-def normalise(text: Column) -> Column:
-    """Lower case; runs of anything but a-z, 0-9 and space become one space; trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", " "), " +", " "))
-
-
 def nfkc(text: Column) -> Column:
-    """Optional step before normalise, for texts with compatibility characters; there is no built-in for it."""
+    """Compatibility composition (NFKC), by the library that Spark itself sorts with. ASCII is its own normal form."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
 
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return F.pandas_udf(run, T.StringType())(text)
+def normalise(text: Column) -> Column:
+    """NFKC, then lower case; runs of anything but a-z, 0-9 and space become one space; trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc(text)), "[^a-z0-9 ]+", " "), " +", " "))
 
 
 def content_hash(text: Column) -> Column:
@@ -46,15 +41,37 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: s != "")
 
 
-def sentence_spans(text: Column) -> Column:
-    """Structs (start, end, sentence); offsets in characters of the text, found from a cursor that moves on."""
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<struct<start:int,end:int,sentence:string>>").alias("out"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def step(acc: Column, s: Column) -> Column:
-        at = F.call_function("locate", s, text, acc["cursor"] + 1) - 1
-        return F.struct((at + F.length(s)).cast("int").alias("cursor"), F.array_append(acc["out"], F.struct(at.cast("int").alias("start"), (at + F.length(s)).cast("int").alias("end"), F.trim(s).alias("sentence"))).alias("out"))
+def _running(numbers: Column) -> Column:
+    """0 and the sums of the first one, two, ... numbers."""
+    return F.aggregate(numbers, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
 
-    return F.aggregate(sentences(text), start, step, lambda acc: acc["out"])
+
+def sums_before(numbers: Column) -> Column:
+    """For each of an array's numbers the sum of those before it. In runs of the root of their count, as an array that
+    grows by one is copied each time."""
+
+    def split(n: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(n).cast("double"))).cast("int"))
+        starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / width).cast("int")), lambda c: c * width + 1)
+        runs = F.transform(starts, lambda at: _running(F.slice(n, at, width)))
+        return let(runs, lambda r: F.flatten(F.zip_with(r, F.slice(_running(F.transform(r, lambda x: F.element_at(x, -1))), F.lit(1), F.size(r)), lambda x, base: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + base))))
+
+    return F.when(F.size(numbers) > 0, let(numbers, split)).otherwise(F.array().cast("array<int>"))
+
+
+def sentence_spans(text: Column) -> Column:
+    """Structs (start, end, sentence); offsets in characters of the text, from the lengths of the sentences and what
+    separates them."""
+    gap = r"(?U)(?<=[.!?])\s+"
+    pieces = F.split(text, gap)
+    lengths = F.zip_with(pieces, F.regexp_extract_all(text, F.lit(f"({gap})"), 1), lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0)))
+    spans = F.zip_with(pieces, sums_before(lengths), lambda p, at: F.struct(at.cast("int").alias("start"), (at + F.length(p)).cast("int").alias("end"), F.trim(p).alias("sentence")))
+    return F.filter(spans, lambda s: s["end"] > s["start"])
 
 
 def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:

@@ -73,15 +73,16 @@ def exposures(edges: DataFrame, anchors: DataFrame, max_hops: int = MAX_HOPS) ->
     )
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(key, depth, root, path) of a hierarchy given as (key, parent); a parent that is not listed makes a root."""
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(key, depth, root, path) of a hierarchy given as (key, parent); a parent that is not listed makes a root.
+
+    As many rounds as levels; nodes that no root reaches stand in a cycle, which raises."""
     listed = nodes.select(F.col("key").alias("parent"))
-    top = nodes.join(listed, "parent", "left_anti").select("key", F.lit(0).alias("depth"), F.col("key").alias("root"), F.col("key").alias("path"))
-    out, level = top, top
-    for depth in range(1, max_depth + 1):
-        level = nodes.join(level.select(F.col("key").alias("parent"), "root", F.col("path").alias("above")), "parent").select("key", F.lit(depth).alias("depth"), "root", F.concat_ws("/", "above", "key").alias("path"))
-        level = cut(level)
-        if level.isEmpty():
-            break
+    out = level = cut(nodes.join(listed, "parent", "left_anti").select("key", F.lit(0).alias("depth"), F.col("key").alias("root"), F.col("key").alias("path")))
+    while not level.isEmpty():
+        above = level.select(F.col("key").alias("parent"), "depth", "root", F.col("path").alias("above"))
+        level = cut(nodes.join(above, "parent").select("key", (F.col("depth") + 1).alias("depth"), "root", F.concat_ws("/", "above", "key").alias("path")))
         out = out.unionByName(level)
+    if not nodes.join(out, "key", "left_anti").isEmpty():
+        raise ValueError("the hierarchy has a cycle")
     return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from driftline import catalog as C
 from driftline.plans import definitions as D
 from driftline.plans.vocab import DIMENSIONS, PRIMARY_CLASSES, SOURCE_CLASSES
@@ -32,23 +35,32 @@ EV = f"""ev AS (
     ['LIVE', 'HISTORICAL', 'DEMO', 'UNAVAILABLE'][k % 4 + 1] AS data_mode
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
-NORMAL = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+#: The characters whose compatibility form has a letter or digit that the normal form keeps, found by rule. SQL composes canonically only.
+_COMPAT = {c: f for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]) if (f := unicodedata.normalize("NFKC", c)) != c and re.search("[a-zA-Z0-9]", f)} | {"İ": "i̇"}
+_FOLDED = f"array_to_string(list_transform(string_split(nfc_normalize(text), ''), lambda c: CASE WHEN contains({lit(''.join(_COMPAT))}, c) THEN map({arr(_COMPAT)}, {arr(_COMPAT.values())})[c] ELSE c END), '')"
+NFKC = f"CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN nfc_normalize({_FOLDED}) ELSE text END"
+NORMAL = f"trim(regexp_replace(regexp_replace(lower({NFKC}), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
 DOCS = f"""docs AS (
   SELECT doc_id, text, source, lang, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS event_at, 40 + 10 * (CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 7) AS quality,
-    {NORMAL} AS norm, sha256({NORMAL}) AS h FROM documents)"""
+    norm, sha256(norm) AS h FROM (SELECT *, {NORMAL} AS norm FROM documents))"""
 SHINGLES = """sh AS (
-  SELECT doc_id, CASE WHEN norm = '' THEN [] WHEN len(w) < 5 THEN [norm] ELSE list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] FOR i IN range(1, len(w) - 3)]) END AS s
+  SELECT doc_id, norm, CASE WHEN norm = '' THEN [] WHEN len(w) < 5 THEN [norm] ELSE list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] FOR i IN range(1, len(w) - 3)]) END AS s
   FROM (SELECT doc_id, norm, string_split(norm, ' ') AS w FROM docs))"""
 PAIRS = """x AS (SELECT doc_id, unnest(s) AS g FROM sh), n AS (SELECT doc_id, len(s) AS n FROM sh),
   c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
   pairs AS (SELECT a, b, c.c / (na.n + nb.n - c.c) AS j FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE c.c / (na.n + nb.n - c.c) >= 0.6)"""
-ANCESTRY = f"""WITH RECURSIVE {DOCS}, {SHINGLES}, {PAIRS},
-  first AS (SELECT h, min(doc_id) AS f FROM docs GROUP BY h),
-  near AS (SELECT b AS doc_id, arg_min(a, (-j, a)) AS near FROM pairs WHERE a IN (SELECT f FROM first) AND b IN (SELECT f FROM first) GROUP BY b),
-  parent AS (SELECT d.doc_id, CASE WHEN f < d.doc_id THEN f WHEN near IS NOT NULL THEN near ELSE d.doc_id END AS up,
-    CASE WHEN f < d.doc_id THEN 'EXACT_HASH' WHEN near IS NOT NULL THEN 'NEAR_DUPLICATE' ELSE 'ORIGIN' END AS method FROM docs d JOIN first USING (h) LEFT JOIN near USING (doc_id)),
-  tree AS (SELECT doc_id, doc_id AS root FROM parent WHERE up = doc_id UNION ALL SELECT p.doc_id, t.root FROM parent p JOIN tree t ON p.up = t.doc_id WHERE p.up <> p.doc_id),
-  assigned AS (SELECT doc_id, 'cluster:' || root AS cluster_key, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY root) THEN 'ORIGIN' ELSE method END AS method FROM tree JOIN parent USING (doc_id))"""
+#: One document after the other, as the rule is stated: roots[i] is the number of the founder of document i's cluster.
+ANCESTRY = f"""{DOCS}, {SHINGLES}, {PAIRS},
+  numbered AS (SELECT *, row_number() OVER (ORDER BY event_at, doc_id) AS r FROM docs),
+  first AS (SELECT h, min(r) AS f FROM numbered GROUP BY h),
+  cand AS (SELECT nb.r, list(na.r) AS cands FROM (SELECT *, max(j) OVER (PARTITION BY b) AS best FROM pairs WHERE a IN (SELECT doc_id FROM numbered JOIN first ON r = f) AND b IN (SELECT doc_id FROM numbered JOIN first ON r = f))
+    JOIN numbered na ON na.doc_id = a JOIN numbered nb ON nb.doc_id = b WHERE j = best GROUP BY nb.r),
+  known AS (SELECT n.r, f, cands FROM numbered n JOIN first USING (h) LEFT JOIN cand ON cand.r = n.r),
+  walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS roots UNION ALL
+    SELECT k + 1, list_append(roots, CASE WHEN f < k + 1 THEN roots[f] WHEN cands IS NOT NULL THEN list_min(list_transform(cands, lambda c: roots[c])) ELSE k + 1 END) FROM walk JOIN known ON r = k + 1),
+  tree AS (SELECT n.doc_id, o.doc_id AS root, CASE WHEN f < n.r THEN 'EXACT_HASH' WHEN cands IS NOT NULL THEN 'NEAR_DUPLICATE' ELSE 'ORIGIN' END AS method
+    FROM numbered n JOIN known k ON k.r = n.r JOIN numbered o ON o.r = (SELECT roots FROM walk ORDER BY k DESC LIMIT 1)[n.r]),
+  assigned AS (SELECT doc_id, 'cluster:' || root AS cluster_key, CASE WHEN doc_id = arg_min(doc_id, (event_at, -quality, doc_id)) OVER (PARTITION BY root) THEN 'ORIGIN' ELSE method END AS method FROM tree JOIN docs USING (doc_id))"""
 
 
 def profile(source: str, by: str) -> str:
@@ -224,8 +236,10 @@ def oracle_sql() -> dict[str, str]:
         "doc_exact_clusters": f"WITH {DOCS} SELECT h AS content_hash, arg_min(doc_id, (event_at, -quality, doc_id)) AS origin_id, count(*) AS members FROM docs GROUP BY h",
         "doc_shingle_counts": f"WITH {DOCS}, {SHINGLES} SELECT doc_id, len(s)::BIGINT AS n_shingles FROM sh",
         "doc_near_dup_pairs": f"WITH {DOCS}, {SHINGLES}, {PAIRS} SELECT a, b, round(j, 4) AS jaccard FROM pairs",
-        "doc_ancestry_clusters": f"{ANCESTRY} SELECT doc_id, cluster_key, method FROM assigned",
-        "doc_cluster_summary": f"{ANCESTRY} SELECT cluster_key, count(*) AS members, epoch_us(min(event_at)) AS first_seen, epoch_us(max(event_at)) AS last_seen, arg_min(['LIVE', 'HISTORICAL', 'DEMO', 'UNAVAILABLE'][doc_id % 4 + 1], [3, 2, 1, 0][doc_id % 4 + 1]) AS data_mode FROM assigned JOIN docs USING (doc_id) GROUP BY cluster_key",
+        "doc_ancestry_clusters": f"WITH RECURSIVE {ANCESTRY} SELECT doc_id, cluster_key, method FROM assigned",
+        "ancestry_tie_inline": f"WITH RECURSIVE documents AS {values([(i, t, 'src0', 'en') for i, t in C.TIED], 'doc_id, text, source, lang')}, {ANCESTRY} SELECT doc_id::BIGINT AS doc_id, cluster_key, method FROM assigned",
+        "normalise_inline": f"WITH documents AS {values([(i, t, 'src0', 'en') for i, t in C.ODD_TEXTS], 'doc_id, text, source, lang')}, {DOCS}, {SHINGLES} SELECT doc_id::BIGINT AS doc_id, norm, h AS content_hash, len(s)::BIGINT AS n_shingles FROM docs JOIN sh USING (doc_id, norm)",
+        "doc_cluster_summary": f"WITH RECURSIVE {ANCESTRY} SELECT cluster_key, count(*) AS members, epoch_us(min(event_at)) AS first_seen, epoch_us(max(event_at)) AS last_seen, arg_min(['LIVE', 'HISTORICAL', 'DEMO', 'UNAVAILABLE'][doc_id % 4 + 1], [3, 2, 1, 0][doc_id % 4 + 1]) AS data_mode FROM assigned JOIN docs USING (doc_id) GROUP BY cluster_key",
         "sentence_split": "WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents) SELECT doc_id, (unnest(range(1, len(p) + 1)) - 1)::INTEGER AS n, unnest(p) AS sentence FROM p",
         "claim_extract_inline": claims(values(C.CORPUS, "doc_id, text"), D.CLAIM_RULES, D.SUBJECT_LEXICON, D.STABILITY_PATTERNS, D.FORWARD_PATTERNS).replace("SELECT doc_id, n, rule_key", "SELECT doc_id::BIGINT AS doc_id, n, rule_key"),
         "claim_extract_documents": claims("documents", C.DOC_RULES, C.DOC_SUBJECTS, C.DOC_STABLE, C.DOC_FORWARD),

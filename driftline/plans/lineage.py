@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
+    """df written to the shared folder that the cluster names in spark.checkpoint.dir. A local one is made where none is set
+    and the session runs in one process, as in tests; on a cluster an unset folder raises."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
     return df.checkpoint(eager=True)
