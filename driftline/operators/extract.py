@@ -108,6 +108,39 @@ def build_events(evidence: DataFrame) -> DataFrame:
     )
 
 
+def event_bridge(evidence: DataFrame) -> DataFrame:
+    """(dedupe_key, evidence_id): which evidence an event was built from."""
+    e = evidence.filter("event_type is not null and cluster_id is not null")
+    key = F.concat_ws(":", F.col("cluster_id").cast("string"), "event_type", F.coalesce("subject", F.lit("unspecified")), F.to_date("t").cast("string"))
+    return e.select(key.alias("dedupe_key"), "evidence_id")
+
+
+def new_events(evidence: DataFrame, stored: DataFrame) -> DataFrame:
+    """Events whose key is not stored yet."""
+    return build_events(evidence).join(stored.select("dedupe_key"), "dedupe_key", "left_anti")
+
+
+def keyword_search(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score, rank, truncated). docs: doc_id, title, text, published_at, at (event or else publication),
+    subject_hints; queries: query_id, text, terms, subject, since, until, hits (the limit).
+
+    A document scores one for each of the query's tokens and terms that its title or text has, and two more where it hints at
+    the query's subject; without any it is not found. Of equal scores the older comes first. truncated: more were found."""
+    words = F.array_distinct(F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.coalesce("text", F.lit("")))))
+    have = docs.select("doc_id", "published_at", "at", F.transform(F.coalesce("subject_hints", F.array().cast("array<string>")), F.lower).alias("hints"), F.explode(words).alias("token"))
+    terms = F.transform(F.coalesce("terms", F.array().cast("array<string>")), F.lower)
+    want = queries.select("query_id", "subject", "since", "until", "hits", F.explode(F.array_distinct(F.concat(tokens(F.coalesce("text", F.lit(""))), terms))).alias("token"))
+    inside = (F.col("since").isNull() | (F.col("at") >= F.col("since"))) & (F.col("until").isNull() | (F.col("at") <= F.col("until")))
+    hinted = F.coalesce(F.array_contains("hints", F.col("subject")), F.lit(False))
+    # The overlap is summed in each task before a document's rows meet.
+    found = have.join(want, "token").filter(inside).groupBy("query_id", "hits", "doc_id", "published_at", hinted.alias("hinted")).agg(F.count(F.lit(1)).alias("n"))
+    scored = found.withColumn("score", F.col("n") + F.when(F.col("hinted"), 2.0).otherwise(0.0))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "published_at", "doc_id")
+    many = scored.groupBy("query_id").agg((F.count(F.lit(1)) > F.first("hits")).alias("truncated"))
+    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("hits"))
+    return top.join(many, "query_id").select("query_id", "doc_id", "score", "rank", "truncated")
+
+
 def search(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the documents with most of a query's tokens, newest last among equals.
 

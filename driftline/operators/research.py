@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.kernels import finding_confidence
+from driftline.operators.extract import keyword_search
 from driftline.operators.independence import profile
-from driftline.plans.definitions import COUNTER_DIMENSIONS, DIMENSION_EVENTS, NEUTRAL_DIMENSIONS, PLAN_QUESTIONS, REQUIRED_DIMENSIONS, SPECULATIVE_DIMENSIONS, SUPPORTING_TYPES
+from driftline.plans.definitions import (
+    AWARENESS_ESTIMATE, BREADTH, COMPANIES_MAPPED, COMPANY_MAPPED, COUNTER_DIMENSIONS, DIMENSION_EVENTS, DISCLAIMER, FALLS, GENERAL_HYPOTHESIS, INDIRECT, INVALIDATES, NEUTRAL_DIMENSIONS,
+    NO_EXPOSURE, NO_MARKET_DATA, NO_TREND, ORDERS, PLAN_QUESTIONS, RATES, REQUIRED_DIMENSIONS, SIGNAL_CHANGED, SIGNAL_QUESTION, SPECULATIVE_DIMENSIONS, STAGE, STRONGEST, SUPPORTING_TYPES,
+)
 from driftline.plans.vocab import DIMENSIONS
 
 
@@ -25,7 +31,7 @@ def plan(themes: DataFrame, signals: DataFrame) -> DataFrame:
     fill = lambda c: F.replace(F.replace(F.col(c), F.lit("{p}"), subject), F.lit("{c}"), companies)
     base = themes.crossJoin(F.broadcast(t)).select("theme", "ord", "dimension", "priority", F.col("counter").alias("seeks_counter_evidence"), fill("question").alias("question"), fill("terms").alias("terms"))
     fast = signals.filter("acceleration >= 20").join(themes.select("theme", subject.alias("p")), "theme")
-    q = F.format_string("The '%s' signal is running %s against its own baseline on %s independent sources. What explains the change, and is it durable?", "signal", F.round("acceleration", 0).cast("long").cast("string"), F.col("independent_sources").cast("string"))
+    q = F.format_string(SIGNAL_QUESTION, "signal", F.round("acceleration", 0).cast("long").cast("string"), F.col("independent_sources").cast("string"))
     more = fast.select("theme", F.lit(len(PLAN_QUESTIONS)).alias("ord"), F.when(F.col("signal").contains("demand"), "DEMAND").otherwise("SUPPLY").alias("dimension"), F.lit(2).alias("priority"), F.lit(False).alias("seeks_counter_evidence"), q.alias("question"), F.concat_ws("|", "signal", "p").alias("terms"))
     return base.unionByName(more)
 
@@ -46,6 +52,9 @@ def enforce_coverage(questions: DataFrame, fallback: DataFrame) -> DataFrame:
 class Budget:
     max_searches: int = 30
     saturation: int = 6
+    max_calls: int = 2
+    max_seconds: float = 120.0
+    max_items: int = 40
 
 
 @dataclass
@@ -56,22 +65,23 @@ class SearchOutcome:
     trace: list = field(default_factory=list)
 
 
-def search_loop(questions: list[dict], search: Callable[[str], list], budget: Budget = Budget(), known: set | None = None) -> SearchOutcome:
+def search_loop(questions: list[dict], search: Callable[[dict], list], budget: Budget = Budget(), known: set | None = None) -> SearchOutcome:
     """Questions by (priority, dimension), each searched once, until the plan is done, searches bring nothing new for
     `saturation` in a row, or the budget is spent. Sequential by its meaning, over a plan of a bounded size."""
     out, seen, empty = SearchOutcome(), set(known or ()), 0
-    for q in sorted(questions, key=lambda q: (q["priority"], q["dimension"])):
+    for q in sorted(questions, key=lambda q: (q["priority"], q["dimension"], q["question"])):
         if out.searches >= budget.max_searches:
             out.stop_reason = "budget"
             break
         if empty >= budget.saturation:
             out.stop_reason = "saturation"
             break
-        found = [d for d in search(q["question"]) if d not in seen]
+        results = search(q)
+        found = [d for d in results if d not in seen]
         seen.update(found)
         out.searches += 1
         out.new_documents += found
-        out.trace.append({"dimension": q["dimension"], "new": len(found)})
+        out.trace.append({"dimension": q["dimension"], "results": len(results), "new": len(found)})
         empty = 0 if found else empty + 1
     return out
 
@@ -139,15 +149,142 @@ def sections(found: DataFrame) -> DataFrame:
     return found.withColumn("section", section).orderBy("section", F.desc("independent_sources"), "ord")
 
 
-def report(theme: str, trend: DataFrame, found: DataFrame, exposure: DataFrame) -> DataFrame:
-    """(theme, report): sections as JSON, every line with its claim type. Inputs are one theme's: a bounded number of rows."""
-    line = F.concat(F.col("signal"), F.lit(": acceleration "), F.format_string("%+.0f", "acceleration"), F.lit(" on "), F.col("independent_sources").cast("string"), F.lit(" independent sources"))
-    changed = trend.agg(F.array_sort(F.collect_list(F.struct((-F.col("acceleration")).alias("o"), line.alias("text"), F.lit("FACT").alias("claim_type")))).alias("what_changed"))
-    why_now = trend.agg(F.max_by(F.struct("signal", "acceleration", "obs_rate", "base_rate"), F.struct("acceleration", "signal")).alias("why_now"))
-    f = sections(found).groupBy().pivot("section", ["supporting", "contradicting", "contextual", "gaps"]).agg(F.array_sort(F.collect_list(F.struct((-F.col("independent_sources")).alias("o"), "ord", "dimension", "claim", "claim_type"))))
-    first = F.count(F.when(F.col("order_of_effect") == 1, 1))
-    e = exposure.agg(first.alias("first_order"), F.count(F.when(F.col("order_of_effect") > 1, 1)).alias("later_order"), F.max_by("company_key", F.when(F.col("order_of_effect") > 1, F.col("exposure_score"))).alias("best_later"),
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("exposure_score")).alias("o"), "company_key", "role", "order_of_effect"))), 1, 5).alias("companies_exposed"))
-    rules = trend.agg(F.array_append(F.array_sort(F.collect_list(F.concat(F.col("signal"), F.lit(" acceleration falls below 0")))), F.lit("contradiction ratio rises above 0.6")).alias("invalidation"))
-    one = changed.crossJoin(why_now).crossJoin(f).crossJoin(e).crossJoin(rules)
-    return one.select(F.lit(theme).alias("theme"), F.to_json(F.struct(*one.columns)).alias("report"))
+def ensure_hypotheses(themes: DataFrame, stored: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
+    """(theme, statement, status, created): the open hypothesis of each theme, or a new one from its template or its name.
+
+    themes: theme, name; stored: theme, statement, status."""
+    open_ = stored.filter("status = 'OPEN'").groupBy("theme").agg(F.min("statement").alias("statement"))
+    t = themes.sparkSession.createDataFrame(list(known), "theme string, given string")
+    new = themes.join(open_, "theme", "left_anti").join(F.broadcast(t), "theme", "left").select("theme", F.coalesce("given", F.format_string(GENERAL_HYPOTHESIS, "name")).alias("statement"))
+    both = open_.withColumn("created", F.lit(False)).unionByName(new.withColumn("created", F.lit(True)))
+    return both.withColumn("status", F.lit("OPEN"))
+
+
+def plan_input(themes: DataFrame, trends: DataFrame, exposures: DataFrame, companies: DataFrame) -> DataFrame:
+    """What a planner sees of each theme: its signals by name and its companies by falling exposure; unknown companies go.
+
+    themes: theme, name, subjects; trends: theme, signal, acceleration, observation_strength, direction, independent_sources;
+    exposures: theme, company_key, role, order_of_effect, exposure_score; companies: company_key, company_name."""
+    level = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("observation_strength")))
+    s = trends.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("signal", level.alias("level"), "acceleration", "direction", "independent_sources"))).alias("signals"))
+    e = exposures.join(companies, "company_key").groupBy("theme").agg(F.array_sort(F.collect_list(F.struct((-F.col("exposure_score")).alias("o"), "company_key", "company_name", "role", "order_of_effect", "exposure_score"))).alias("companies"))
+    return themes.join(s, "theme", "left").join(e, "theme", "left")
+
+
+def first_questions(questions: DataFrame) -> DataFrame:
+    """(theme, dimension, question, priority, n_questions): the first question of each dimension, by priority and order."""
+    return questions.groupBy("theme", "dimension").agg(F.min_by(F.struct("question", "priority"), F.struct("priority", "ord")).alias("q"), F.count(F.lit(1)).alias("n_questions")).select("theme", "dimension", "q.*", "n_questions")
+
+
+def plan_summary(questions: DataFrame) -> DataFrame:
+    """(theme, questions, counter_evidence, dimensions): how much a plan asks, how much of it against itself, and about what."""
+    return questions.groupBy("theme").agg(F.count(F.lit(1)).alias("questions"), F.count(F.when(F.col("seeks_counter_evidence"), 1)).alias("counter_evidence"), F.array_sort(F.collect_set("dimension")).alias("dimensions"))
+
+
+def exposure_finding(exposures: DataFrame) -> DataFrame:
+    """(theme, claim, confidence, independent_sources, stance, claim_type) of the five best exposures of each theme.
+
+    exposures: theme, company_key, role, order_of_effect, exposure_score, confidence_pct."""
+    w = Window.partitionBy("theme").orderBy(F.desc("exposure_score"), "company_key")
+    top = exposures.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    said = F.format_string(COMPANY_MAPPED, "company_key", F.lower(F.replace("role", F.lit("_"), F.lit(" "))), F.col("order_of_effect").cast("int"), "exposure_score")
+    five = top.groupBy("theme").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", said.alias("s")))), lambda x: x["s"]), "; ").alias("listed"), F.max("confidence_pct").alias("best"), F.count(F.lit(1)).alias("independent_sources"))
+    n = exposures.groupBy("theme").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return five.join(n, "theme").select(
+        "theme", F.format_string(COMPANIES_MAPPED, "n", "listed").alias("claim"), F.round(F.least(F.lit(1.0), F.col("best") / 100), 4).alias("confidence"), "independent_sources", F.lit("SUPPORTING").alias("stance"), F.lit("INFERENCE").alias("claim_type")
+    )
+
+
+def finding_evidence(evidence: DataFrame, pairs=DIMENSION_EVENTS) -> DataFrame:
+    """(dimension, evidence_id): the evidence that each finding rests on."""
+    spec = evidence.filter("event_type is null").select("evidence_id", F.explode(F.array(*[F.lit(d) for d in SPECULATIVE_DIMENSIONS])).alias("dimension"))
+    return evidence.join(F.broadcast(bridge(evidence.sparkSession, pairs)), "event_type").select("dimension", "evidence_id").unionByName(spec.select("dimension", "evidence_id"))
+
+
+def run_searches(questions: DataFrame, docs: DataFrame, budget: Budget = Budget(), hits: int = 20) -> tuple[DataFrame, SearchOutcome]:
+    """(search runs, outcome): every question of a plan is searched in one job, then the stopping rules go through the results
+    in the order of the plan. questions: dimension, priority, question, terms ('|' between them); docs as in keyword_search.
+
+    What comes to the driver is a plan's questions, each with at most `hits` numbers."""
+    spark = questions.sparkSession
+    asked = [r.asDict() | {"query_id": i} for i, r in enumerate(questions.select("dimension", "priority", "question", "terms").orderBy("priority", "dimension", "question").collect())]
+    rows = [(a["query_id"], a["terms"].replace("|", " "), a["terms"].split("|"), None, None, None, hits) for a in asked]
+    q = spark.createDataFrame(rows, "query_id int, text string, terms array<string>, subject string, since timestamp, until timestamp, hits int")
+    got = keyword_search(docs, q).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("found"))
+    by_id = {r.query_id: [x.doc_id for x in r.found] for r in got.collect()}
+    terms = {(a["dimension"], a["question"]): by_id.get(a["query_id"], []) for a in asked}
+    outcome = search_loop(asked, lambda a: terms[a["dimension"], a["question"]], budget)
+    runs = [(i, t["dimension"], t["results"], t["new"]) for i, t in enumerate(outcome.trace)]
+    return spark.createDataFrame(runs, "n int, dimension string, result_count int, new_count int"), outcome
+
+
+class BudgetExceeded(RuntimeError):
+    """An agent asked for more than its budget holds."""
+
+
+def traced(agent: Callable, payload, budget: Budget = Budget(), clock: Callable[[], float] = time.monotonic, **named) -> dict:
+    """One row of a run's trace: status SUCCEEDED, TIMED_OUT, BUDGET_EXCEEDED or FAILED, seconds, error, and the output, if any.
+    A failure is recorded, never raised."""
+    began, output, error = clock(), None, None
+    try:
+        output, status = agent(payload), "SUCCEEDED"
+    except BudgetExceeded as e:
+        status, error = "BUDGET_EXCEEDED", str(e)
+    except Exception as e:  # whatever went wrong belongs in the trace
+        status, error = "FAILED", f"{type(e).__name__}: {e}"
+    seconds = clock() - began
+    if status == "SUCCEEDED" and seconds > budget.max_seconds:
+        output, status, error = None, "TIMED_OUT", f"{seconds:.1f}s of {budget.max_seconds:.1f}s"
+    return named | {"strategy": "rule_based", "status": status, "seconds": seconds, "error": error, "output": output}
+
+
+def report_lines(trends: DataFrame, found: DataFrame, links: DataFrame, exposure: DataFrame, themes: DataFrame, scores: DataFrame, market: str = "no provider", market_mode: str = "UNAVAILABLE") -> DataFrame:
+    """(theme, section, ord, text, claim_type, evidence): every line of every theme's report, with how much evidence it rests on.
+
+    trends: theme, signal and ``signals.trends``; found: ``findings`` (theme, dimension, ...); links: theme, dimension, evidence_id;
+    exposure: theme and ``graph.exposures``; themes: theme, maturity, market_awareness, awareness_mode; scores: theme, model, value,
+    weight_coverage, unavailable. Lines are made as rows; a theme's text is put together last."""
+    name = F.initcap(F.replace("signal", F.lit("_"), F.lit(" ")))
+    line = lambda df, section, order, text, kind, ids=F.lit(0): df.select("theme", F.lit(section).alias("section"), order.cast("double").alias("o"), text.alias("text"), kind.alias("claim_type"), ids.cast("long").alias("evidence"))
+    fact, inference, hypothesis = F.lit("FACT"), F.lit("INFERENCE"), F.lit("HYPOTHESIS")
+    n = links.groupBy("theme", "dimension").agg(F.count_distinct("evidence_id").alias("ids"))
+    f = found.join(n, ["theme", "dimension"], "left").withColumn("ids", F.coalesce("ids", F.lit(0)))
+    best = f.filter("stance = 'SUPPORTING'").groupBy("theme").agg(F.max_by(F.struct("claim", "claim_type", "ids"), F.struct("independent_sources", -F.col("ord"))).alias("b")).select("theme", "b.*")
+    fast = trends.groupBy("theme").agg(F.max_by(F.struct("signal", "obs_rate", "base_rate", "independence_change"), F.struct("acceleration", "signal")).alias("t")).select("theme", "t.*")
+    orders = exposure.groupBy("theme").agg(F.count(F.when(F.col("order_of_effect") == 1, 1)).cast("int").alias("first"), F.count(F.when(F.col("order_of_effect") > 1, 1)).cast("int").alias("later"))
+    indirect = exposure.filter("order_of_effect > 1").groupBy("theme").agg(F.max_by(F.struct("company_key", "role", "order_of_effect", "rationale"), F.struct("exposure_score", "company_key")).alias("b")).select("theme", "b.*")
+    words = F.lower(F.replace("role", F.lit("_"), F.lit(" ")))
+    section = F.when(F.col("independent_sources") == 0, "research_gaps").when(F.col("stance") == "SUPPORTING", "supporting_evidence").when(F.col("stance") == "CONTRADICTING", "contradictory_evidence").otherwise("contextual_findings")
+    rank = F.row_number().over(Window.partitionBy("theme").orderBy(F.desc("exposure_score"), "company_key"))
+    none = themes.select("theme").join(exposure, "theme", "left_anti")
+    still = themes.select("theme").join(trends, "theme", "left_anti")
+    parts = [
+        line(trends, "what_changed", -F.col("acceleration"), F.format_string(SIGNAL_CHANGED, name, "observation_strength", "baseline_strength", "acceleration"), fact),
+        line(best, "what_changed", F.lit(1000), F.concat(F.lit(STRONGEST), F.col("claim")), F.col("claim_type"), F.col("ids")),
+        line(none, "why_it_matters", F.lit(0), F.lit(NO_EXPOSURE), fact),
+        line(orders, "why_it_matters", F.lit(0), F.format_string(ORDERS, "first", "later"), inference),
+        line(indirect, "why_it_matters", F.lit(1), F.format_string(INDIRECT, "company_key", words, F.col("order_of_effect").cast("int"), "rationale"), inference),
+        line(still, "why_now", F.lit(0), F.lit(NO_TREND), fact),
+        line(fast, "why_now", F.lit(0), F.format_string(RATES, name, "obs_rate", "base_rate"), fact),
+        line(fast, "why_now", F.lit(1), F.format_string(BREADTH, "independence_change"), fact),
+        line(themes.join(fast.select("theme"), "theme"), "why_now", F.lit(2), F.format_string(STAGE, "maturity"), inference),
+        f.select("theme", section.alias("section"), (-F.col("independent_sources") + F.col("ord") / 100).cast("double").alias("o"), F.col("claim").alias("text"), F.when(section == "research_gaps", "FACT").otherwise(F.col("claim_type")).alias("claim_type"), F.col("ids").cast("long").alias("evidence")),
+        line(exposure.withColumn("rank", rank), "companies_exposed", F.col("rank"), F.format_string(COMPANY_MAPPED, "company_key", words, F.col("order_of_effect").cast("int"), "exposure_score"), inference),
+        line(themes, "market_awareness", F.lit(0), F.format_string(AWARENESS_ESTIMATE, "market_awareness"), inference),
+        line(f.filter("dimension = 'MARKET_EXPECTATIONS'"), "market_awareness", F.lit(2), F.col("claim"), F.col("claim_type")),
+        line(trends, "invalidation_conditions", F.lit(0), F.format_string(FALLS, name, "acceleration"), hypothesis),
+        line(themes, "invalidation_conditions", F.lit(1), F.lit(INVALIDATES), hypothesis),
+        line(scores, "scores", F.lit(0), F.concat_ws(" ", "model", F.format_string("%.1f over %.0f%% of the weights", "value", F.col("weight_coverage") * 100)), fact),
+        line(themes, "provenance", F.lit(0), F.lit(DISCLAIMER), fact),
+    ]
+    if market_mode == "UNAVAILABLE":
+        parts.append(line(themes, "market_awareness", F.lit(1), F.lit(NO_MARKET_DATA % market), fact))
+    rows = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("theme", "section").orderBy("o", "text")
+    return rows.withColumn("ord", F.row_number().over(order)).select("theme", "section", "ord", "text", "claim_type", "evidence")
+
+
+def report(lines: DataFrame) -> DataFrame:
+    """(theme, report): a theme's lines as one JSON object, a list of lines a section."""
+    s = lines.groupBy("theme", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text", "claim_type", "evidence"))), lambda x: F.struct(x["text"].alias("text"), x["claim_type"].alias("claim_type"), x["evidence"].alias("evidence"))).alias("lines"))
+    return s.groupBy("theme").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "lines"))))).alias("report"))

@@ -52,15 +52,22 @@ def components(values: DataFrame, subject: str = "theme") -> DataFrame:
     known = values.withColumn("given", F.lit(True))
     rows = frame.join(known, [subject, "model", "key"], "left")
     missing = F.col("given").isNull() & ~F.col("key").isin(*UNAVAILABLE_COMPONENTS)
-    rows = rows.withColumn("value", F.when(missing, F.raise_error(F.concat(F.lit("unresolved component "), "key")).cast("double")).otherwise(K.component_value(F.col("value"))))
+    rows = rows.withColumn("raw", F.round("value", 4)).withColumn("value", F.when(missing, F.raise_error(F.concat(F.lit("unresolved component "), "key")).cast("double")).otherwise(K.component_value(F.col("value"))))
     available = F.col("value").isNotNull()
     total = F.sum(F.when(available, F.col("weight")).otherwise(0.0)).over(Window.partitionBy(subject, "model"))
     effective = F.when(available & (total > 0), F.col("weight") / total).otherwise(0.0)
     return rows.withColumn("effective", effective).select(
-        subject, "model", "ord", "key", available.alias("available"), F.col("value").alias("normalized"), "weight", F.round("effective", 6).alias("effective_weight"), F.round(F.coalesce("value", F.lit(0.0)) * F.col("effective"), 4).alias("contribution"),
+        subject, "model", "ord", "key", available.alias("available"), "raw", F.col("value").alias("normalized"), "weight", F.round("effective", 6).alias("effective_weight"), F.round(F.coalesce("value", F.lit(0.0)) * F.col("effective"), 4).alias("contribution"),
     )
 
 
+def explained(parts: DataFrame) -> DataFrame:
+    """parts with a sentence each: what a component measured, or that and why it was left out of the weights."""
+    name = F.replace("key", F.lit("_"), F.lit(" "))
+    why = F.concat(name, F.lit(" has no source in this corpus; its weight goes to the other components"))
+    return parts.withColumn("explanation", F.when(F.col("available"), F.concat(name, F.lit(" measured from the theme's own evidence"))).otherwise(why))
+
+
 def totals(parts: DataFrame, subject: str = "theme") -> DataFrame:
     """(subject, model, value, weight_coverage, unavailable). A model without an available component raises."""
     t = parts.groupBy(subject, "model").agg(

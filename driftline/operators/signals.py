@@ -40,7 +40,7 @@ class Grid:
 def contributions(evidence: DataFrame, weights: DataFrame) -> DataFrame:
     """Evidence joined to the signals that weigh its type and subject, with its signed contribution.
 
-    weights is a definition table (a row a signal and type), so it is broadcast."""
+    weights is a definition table, a row a signal and type: a list in the source."""
     signed = F.round(K.contribution(F.col("magnitude"), F.col("confidence"), F.col("source_quality")) * F.col("weight"), 6)
     return evidence.join(F.broadcast(weights), ["subject", "event_type"]).withColumn("signed", signed)
 
@@ -67,6 +67,12 @@ def aggregate(contributed: DataFrame, by: list[str], saturation: float) -> DataF
     )
 
 
+def nested_contributions(contributed: DataFrame, by: list[str]) -> DataFrame:
+    """For each set its clusters' contributions as an array of structs, by cluster: what a bucket's value is made of."""
+    strongest = contributed.groupBy(*by, "cluster_id").agg(F.max_by(F.struct("signed", "event_id", "source_quality"), F.struct(F.abs("signed"), -F.col("event_id"))).alias("c"), F.count(F.lit(1)).alias("events"))
+    return strongest.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "c.signed", "c.event_id", "c.source_quality", "events"))).alias("contributions"))
+
+
 def series(evidence: DataFrame, weights: DataFrame, grid: Grid) -> DataFrame:
     """A row for each signal and bucket; buckets without evidence have zeros."""
     placed = contributions(evidence, weights).withColumn("bucket", grid.bucket(F.col("t"))).filter(F.col("bucket").between(0, grid.buckets - 1))
@@ -135,8 +141,8 @@ def theme_metrics(evidence: DataFrame, activations: DataFrame, weights: DataFram
     signs = activations.select(theme, "signal").join(weights.select("signal", "event_type", F.col("weight").alias("w")), "signal").groupBy(theme, "event_type").agg(F.sum("w").alias("sign"))
     subjects = activations.select(theme, "subject").distinct()
     age = grid.age(F.col("t")) / 86_400_000_000.0
-    rows = evidence.filter((age >= 0) & (age <= grid.observation_days)).join(F.broadcast(subjects), "subject")
-    rows = rows.join(F.broadcast(signs), [theme, "event_type"], "left")
+    rows = evidence.filter((age >= 0) & (age <= grid.observation_days)).join(subjects, "subject")
+    rows = rows.join(signs, [theme, "event_type"], "left")
     side = lambda cond: F.count_distinct(F.when(cond & (F.col("event_type") != reaction_type), F.col("cluster_id")))
     sides = rows.groupBy(theme).agg(side(F.col("sign") > 0).alias("supporting"), side(F.col("sign") < 0).alias("contradicting"), F.max(F.col("event_type") == reaction_type).alias("market_reaction"))
     w = F.coalesce(F.nullif(F.sum("weight"), F.lit(0.0)), F.lit(1.0))

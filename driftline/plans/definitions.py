@@ -164,6 +164,33 @@ PLAN_QUESTIONS = (
     (11, "HISTORICAL_ANALOGUE", 2, True, "When has a comparable {p} cycle occurred before, and how did it resolve for suppliers and for pricing?", ("historical cycle", "previous cycle", "cycle history")),
 )
 
+GENERATED_NAME = "Emerging change: "
+#: Sentences of plans, findings and reports; {} or %-places are filled in.
+SIGNAL_QUESTION = "The '%s' signal is running %s against its own baseline on %s independent sources. What explains the change, and is it durable?"
+GENERAL_HYPOTHESIS = "%s: the measured change is real, durable and economically meaningful."
+NO_COMPANY = "No company could be mapped to this theme through the knowledge graph."
+COMPANIES_MAPPED = "%d companies map to this theme through the value chain: %s."
+COMPANY_MAPPED = "%s (%s, order %d, exposure %.0f)"
+SIGNAL_CHANGED = "%s is running at %.0f/100 over the observation window against %.0f/100 in its prior baseline (acceleration %+.0f on a -100..100 scale)."
+STRONGEST = "Strongest corroboration: "
+NO_EXPOSURE = "No company exposure could be established, so the economic consequence of this change is not yet attributable to any issuer."
+ORDERS = "%d companies are exposed at first order and %d at second order or beyond, so the change has an identifiable transmission path into public equities."
+INDIRECT = "The strongest indirect exposure is %s (%s, order %d) via: %s"
+NO_TREND = "No trend is attached to this theme, so 'why now' cannot be answered."
+RATES = "The evidence rate changed: %s events arrive at %.2f/day in the observation window against %.2f/day in the baseline."
+BREADTH = "Independent breadth changed: independence is up %+.0f on the same comparison, so the change is being reported by more separate sources rather than repeated by the same one."
+STAGE = "Maturity is classified %s by deterministic rules over those measurements."
+AWARENESS_ESTIMATE = "Coverage-derived market awareness is estimated as %s."
+NO_MARKET_DATA = (
+    "This estimate is derived only from the mix of source types in the evidence. No market-data provider is configured, so price reaction, valuation, positioning and estimate revisions"
+    " have NOT been measured. Provider status: %s"
+)
+FALLS = "%s acceleration falls below 0 against its baseline (currently %+.0f)."
+INVALIDATES = "Independent contradicting evidence rises above 60% of independent evidence, which the maturity classifier treats as invalidating."
+DISCLAIMER = "Research output. Not investment advice, and not a forecast of any security's price. Scores rank research priority, not expected return."
+DOMAIN_EVENTS = ("SOURCE_INGESTED", "EVIDENCE_EXTRACTED", "EVENT_CREATED", "SIGNAL_UPDATED", "TREND_UPDATED", "THEME_UPDATED", "RESEARCH_REQUESTED", "RESEARCH_COMPLETED")
+# End of the fixed values.
+
 
 def rule_rows(rules=CLAIM_RULES) -> list[tuple]:
     """(ord, rule_key, event_type, pattern, magnitude, confidence, claim)"""

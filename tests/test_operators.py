@@ -1,13 +1,15 @@
 """Operators against small cases worked by hand, and the invariants that hold for all."""
 
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import kernels as K
 from driftline.functions import text as X
-from driftline.operators import ancestry, extract, graph, research, scoring, signals
+from driftline.operators import ancestry, extract, formation, graph, research, scoring, signals, views
 from driftline.operators.independence import profile
 from driftline.sources import readers
 
@@ -156,9 +158,9 @@ def test_text_kernels(spark):
 def test_search_loop_stops(spark):
     qs = [{"priority": 1, "dimension": f"D{i}", "question": str(i)} for i in range(40)]
     assert research.search_loop(qs, lambda q: []).stop_reason == "saturation"
-    out = research.search_loop(qs, lambda q: [q])
+    out = research.search_loop(qs, lambda q: [q["dimension"]])
     assert out.stop_reason == "budget" and out.searches == 30 and len(out.new_documents) == 30
-    assert research.search_loop(qs[:3], lambda q: [q]).stop_reason == "plan_complete"
+    assert research.search_loop(qs[:3], lambda q: [q["dimension"]]).stop_reason == "plan_complete"
 
 
 def test_ingest_twice_adds_nothing(spark):
@@ -183,12 +185,13 @@ def test_registry_urls_and_corpus(spark, tmp_path):
         readers.read_corpus(spark, str(tmp_path / "l.json")).collect()
 
 
-def test_report_and_snapshot(spark, tmp_path):
-    t = spark.createDataFrame([("s1", 30.0, 5, 2.0, 1.0), ("s2", 10.0, 2, 1.0, 1.0)], "signal string, acceleration double, independent_sources int, obs_rate double, base_rate double")
-    e = spark.createDataFrame([(1, "DEMAND_ACCELERATION", "a", "INDUSTRY", 50, False)], "evidence_id int, event_type string, cluster_id string, source_class string, source_quality int, is_primary boolean")
-    x = spark.createDataFrame([("c1", 1, 80.0, "SUPPLIER"), ("c2", 2, 40.0, "CUSTOMER")], "company_key string, order_of_effect int, exposure_score double, role string")
-    body = research.report("theme", t, research.findings(e), x).first().report
-    assert '"best_later":"c2"' in body and body.index("s1: acceleration +30") < body.index("s2: acceleration +10") and '"dimension":"DEMAND"' in body
+def test_report_puts_lines_into_sections(spark):
+    rows = [("t", "gaps", 1, "b", "FACT", 0), ("t", "changed", 2, "y", "FACT", 3), ("t", "changed", 1, "x", "INFERENCE", 2), ("u", "changed", 1, "z", "FACT", 0)]
+    got = {r.theme: json.loads(r.report) for r in research.report(spark.createDataFrame(rows, "theme string, section string, ord int, text string, claim_type string, evidence long")).collect()}
+    assert got["t"] == {"changed": [{"text": "x", "claim_type": "INFERENCE", "evidence": 2}, {"text": "y", "claim_type": "FACT", "evidence": 3}], "gaps": [{"text": "b", "claim_type": "FACT", "evidence": 0}]} and list(got) != []
+
+
+def test_snapshot_replaces_its_own_part(spark, tmp_path):
     s = spark.createDataFrame([("2024-01-01", "trend", 1.0), ("2024-01-01", "confidence", 2.0)], "computed_at string, model string, value double")
     readers.write_snapshot(s, str(tmp_path / "s"))
     readers.write_snapshot(s.filter("model = 'trend'").withColumn("value", F.lit(9.0)), str(tmp_path / "s"))
@@ -204,3 +207,93 @@ def test_stream_drops_copies(spark, tmp_path):
     stream = spark.readStream.schema("source string, text string, event_at timestamp").parquet(str(tmp_path / "in"))
     run_batches(stream, lambda df, n: seen.extend(r.source for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == ["r", "s"]
+
+
+def test_sentence_spans_are_linear_and_exact(spark):
+    text = "  One here.  Two é🙂!\n\nThree? " + "Short one. " * 30_000 + "end"
+    began = time.time()
+    spans = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(X.sentence_spans(F.coalesce("t", F.lit(""))).alias("s")).collect()
+    assert time.time() - began < 30 and len(spans[0].s) == 30_004 and spans[1].s == []
+    assert all(text[x.start : x.end].strip() == x.sentence for x in spans[0].s)
+
+
+def test_hierarchies_of_any_depth(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(25)]
+    got = graph.ancestors(spark.createDataFrame(chain, "key string, parent string")).collect()
+    assert len(got) == 25 and max(r.depth for r in got) == 24
+    with pytest.raises(ValueError, match="cycle"):
+        graph.ancestors(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "key string, parent string"))
+
+
+def test_trace_records_what_went_wrong():
+    clock = iter(range(0, 1000, 50)).__next__
+    ok = research.traced(lambda x: x + 1, 1, research.Budget(max_seconds=60), clock, agent="planner")
+    assert (ok["status"], ok["output"], ok["agent"], ok["seconds"]) == ("SUCCEEDED", 2, "planner", 50)
+    late = research.traced(lambda x: x, 1, research.Budget(max_seconds=10), clock)
+    assert (late["status"], late["output"]) == ("TIMED_OUT", None)
+
+    def spends(_):
+        raise research.BudgetExceeded("3 searches of 2")
+
+    assert research.traced(spends, 1)["status"] == "BUDGET_EXCEEDED"
+    bad = research.traced(lambda x: 1 / x, 0)
+    assert bad["status"] == "FAILED" and bad["error"].startswith("ZeroDivisionError")
+
+
+def test_bus_isolates_handlers():
+    bus, seen = readers.EventBus(), []
+
+    def fails(_):
+        raise RuntimeError("no")
+
+    bus.subscribe("EVENT_CREATED", fails)
+    bus.subscribe("EVENT_CREATED", seen.append)
+    bus.publish("EVENT_CREATED", {"n": 1})
+    bus.publish("THEME_UPDATED")
+    assert seen == [{"n": 1}] and [e for _, _, e in bus.log] == ["no", None]
+    with pytest.raises(ValueError):
+        bus.publish("SOMETHING")
+
+
+def test_lookups_lists_and_health(spark):
+    assert readers.parse_list(" a.example, b ,,") == ["a.example", "b"] and readers.parse_list('["x"]') == ["x"] and readers.parse_list("") == [] and readers.parse_list(["q"]) == ["q"]
+    with pytest.raises(LookupError, match="document"):
+        views.lookup(spark.range(3), "id", 7, "document")
+
+    def down():
+        raise OSError("unreachable")
+
+    assert readers.filings_health(None)[0] is False and readers.filings_health("me", down)[2] == "OSError: unreachable" and readers.filings_health("me")[1] == "LIVE"
+    assert readers.Registry(spark, {}, {"FILINGS": "odd"}).read("FILINGS")[1] == "UNAVAILABLE"
+    runs = spark.createDataFrame([("t", 1, "2024-01-01"), ("t", 2, "2024-01-03"), ("u", 3, "2024-01-05")], "theme string, run_id int, at string")
+    assert views.newest(runs, "t", "at", "run_id", "run").first().run_id == 2
+    assert json.loads(views.as_json(runs.filter("run_id = 3"), "theme").first().json) == {"theme": "u", "run_id": 3, "at": "2024-01-05"}
+
+
+def test_seed_refuses_what_is_real(spark):
+    ind = spark.createDataFrame([("a", "A", None, "DEMO"), ("b", "B", "a", "DEMO")], "key string, name string, parent string, data_mode string")
+    comp = spark.createDataFrame([("c", "C", "b", True, "DEMO")], "key string, name string, industry_key string, is_fictional boolean, data_mode string")
+    rel = spark.createDataFrame([("COMPANY", "c", "SUPPLIES", "COMPANY", "d", "DEMO")], "source_type string, source_key string, relationship string, target_type string, target_key string, data_mode string")
+    stored = {"industries": ind.limit(0), "companies": comp.limit(0), "relationships": rel.limit(0)}
+    assert {k: v.count() for k, v in readers.seed(ind, comp, rel, stored).items()} == {"industries": 2, "companies": 1, "relationships": 1}
+    for bad in ((ind, comp.withColumn("is_fictional", F.lit(False)), rel), (ind.withColumn("data_mode", F.lit("LIVE")), comp, rel), (ind.filter("key = 'b'"), comp, rel)):
+        with pytest.raises(ValueError):
+            readers.seed(*bad, stored)
+
+
+def test_a_run_is_seen_whole_and_reset_is_refused_in_production(spark, tmp_path):
+    root = str(tmp_path / "w")
+    readers.write_run({"t": spark.range(3)}, root, "r1")
+    readers.write_run({"t": spark.range(5)}, root, "r2")
+    assert readers.read_run(spark, root, "t").count() == 5
+    with pytest.raises(PermissionError):
+        readers.reset(spark, root, "production")
+    readers.reset(spark, root, "development")
+    assert not (tmp_path / "w").exists()
+
+
+def test_upserts_keep_what_is_stored(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, v int, first string")
+    new = spark.createDataFrame([("b", 9, "z"), ("c", 3, None)], "k string, v int, first string")
+    got = sorted(tuple(r) for r in formation.upsert(old, new, ["k"], kept=("first",)).collect())
+    assert got == [("a", 1, "x"), ("b", 9, "y"), ("c", 3, None)]

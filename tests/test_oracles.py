@@ -6,11 +6,12 @@ import os
 import duckdb
 import pytest
 
-from driftline import catalog, oracles
+from driftline import catalog, catalog_views, oracles, oracles_views
 
 SF = os.environ.get("DRIFTLINE_SF_DIR", "/root/testdata/sf0.01")
-TABLES = "region nation customer supplier part orders lineitem events documents benchmark".split()
-SQL = oracles.oracle_sql()
+TABLES = "region nation customer supplier part orders lineitem events documents benchmark pages".split()
+QUERIES = catalog.queries() | catalog_views.queries()
+SQL = oracles.oracle_sql() | oracles_views.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +33,9 @@ def table(columns, rows):
     return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(catalog.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    got = catalog.queries()[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     want = db.execute(SQL[name])
     columns = [c[0] for c in want.description]
     a, b = table(got.columns, got.collect()), table(columns, want.fetchall())
