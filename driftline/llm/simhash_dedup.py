@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import checkpointed
+from driftline.llm.common import checkpointed, unused
 from driftline.llm.components import connected_components
 
 SEED = 42
@@ -207,8 +207,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that share an id but not a group all stay, as do rows without an id, which form no group that could be told apart.
     """
+    key, row = unused(docs, "id"), unused(docs, "row")
     first = _labelled(docs).filter(F.col("id") == F.col("component_id"))
-    found = first.groupBy("c").agg(F.min_by(F.struct("id", "row"), "row").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.row").alias("_row"))
-    named = docs.filter(F.col("doc_id").isNotNull()).select("*", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(*docs.columns).alias("_row"))
-    kept = named.join(found, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"])
+    found = first.groupBy("c").agg(F.min_by(F.struct("id", "row"), "row").alias("k")).select(F.col("k.id").alias(key), F.col("k.row").alias(row))
+    named = docs.filter(F.col("doc_id").isNotNull()).select("*", F.col("doc_id").cast("long").alias(key), F.xxhash64(*docs.columns).alias(row))
+    kept = named.join(found, [key, row], "left_semi").dropDuplicates([key, row])
     return kept.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -59,3 +59,12 @@ def test_rows_and_blocks(spark, monkeypatch):
     kept = D.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 5]
     assert D.benchmark_matches(docs, bench.filter("false")).count() == 0 and D.benchmark_matches(docs.filter("false"), bench).count() == 0
+
+
+def test_a_very_long_text(spark):
+    item = "a passage of the benchmark that is long enough to be told from other text by its words"
+    long = "filler words of no interest " * 60_000
+    docs = spark.createDataFrame([(1, long + item.replace("long", "lone") + " " + long, 0), (2, long * 2, 0)], "doc_id long, text string, distance int")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [tuple(r)[:3] for r in D.benchmark_matches(docs, bench).collect()] == [(1, 7, 1)]
+    assert [r.doc_id for r in D.decontaminated(docs, bench).collect()] == [2]

@@ -118,3 +118,23 @@ def test_no_rows_and_no_training_rows(spark):
     held = docs.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2")
     got = M.lm_scores(held).collect()
     assert got and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    texts = ["the end " * 60_000, "x" * 20_000, "日本" * 3_000, "the end"]
+    docs = spark.createDataFrame([(i, t, 1, 2, "w") for i, t in enumerate(texts)], "doc_id long, text string, g int, held_out int, word string")
+    got = {r.doc_id: r for r in M.lm_scores(docs, group_tokens=50_000).collect()}
+    assert [got[i].n_tokens for i in range(4)] == [120_001, 2, 2, 3]
+    assert all(math.isfinite(r.score) and r.score < 0 and math.isfinite(r.lattice_score) for r in got.values())
+    # A text that repeats itself costs less a word than its first words do.
+    assert got[0].score / got[0].n_tokens > got[3].score / got[3].n_tokens
+
+
+def test_repeats_and_seen_words_beat_the_base_where_words_are_known(spark):
+    """Held-out documents whose words training knows: the score is nearer to the text than the base is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = [r for r in M.lm_scores(docs).collect() if r.held_out and r.n_known == r.n_tokens and r.n_tokens > 20]
+    assert len(got) >= 10
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert all(r.score > r.lattice_score for r in got)
+
