@@ -103,7 +103,7 @@ def weights(spark: SparkSession) -> DataFrame:
 
 
 def trend(spark: SparkSession, d: str) -> DataFrame:
-    return signals.trends(evidence(spark, d), weights(spark), GRID)
+    return cut(signals.trends(evidence(spark, d), weights(spark), GRID))  # a row a signal, used several times
 
 
 def activations(spark: SparkSession, d: str) -> DataFrame:
@@ -112,13 +112,13 @@ def activations(spark: SparkSession, d: str) -> DataFrame:
     return t.join(F.broadcast(themes), "signal")
 
 
-def metrics(spark: SparkSession, d: str) -> DataFrame:
-    return signals.theme_metrics(evidence(spark, d), activations(spark, d), weights(spark), GRID, "view")
+def metrics(spark: SparkSession, d: str, active: DataFrame | None = None) -> DataFrame:
+    return signals.theme_metrics(evidence(spark, d), activations(spark, d) if active is None else active, weights(spark), GRID, "view")
 
 
-def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scored(spark: SparkSession, d: str, active: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(metrics, components, totals). The metrics, a row a theme, are used several times and computed once."""
-    m = cut(metrics(spark, d))
+    m = cut(metrics(spark, d, active))
     return m, *scoring.score(m.withColumn("exposure_top", F.lit(50.0)))
 
 

@@ -196,8 +196,8 @@ def _theme_exposures(s: SparkSession, d: str) -> DataFrame:
     return e.withColumn("theme", F.lit("growth")).unionByName(e.filter("order_of_effect = 1").withColumn("theme", F.lit("operations")))
 
 
-def _finalised(s: SparkSession, d: str) -> DataFrame:
-    m, _, totals = C.scored(s, d)
+def _finalised(s: SparkSession, d: str, scores: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    m, _, totals = scores or C.scored(s, d)
     return formation.finalise(m.join(_theme_modes(s, d), "theme"), totals, _theme_exposures(s, d))
 
 
@@ -219,8 +219,9 @@ def _q_score_view(s: SparkSession, d: str) -> DataFrame:
 
 def _q_detail(s: SparkSession, d: str) -> DataFrame:
     t = C.activations(s, d)
-    scores = scoring.latest(C.scored(s, d)[2].groupBy("theme").pivot("model", ["trend", "confidence"]).agg(F.first("value")), ["theme"], "theme")
-    v = views.theme_detail(C.metrics(s, d).drop("acceleration"), scores, t.select("theme", "signal", "acceleration"), _theme_exposures(s, d).select("theme", "company_key", "exposure_score"))
+    m, _, totals = C.scored(s, d, t)
+    scores = totals.groupBy("theme").pivot("model", ["trend", "confidence"]).agg(F.first("value"))
+    v = views.theme_detail(m.drop("acceleration"), scores, t.select("theme", "signal", "acceleration"), _theme_exposures(s, d).select("theme", "company_key", "exposure_score"))
     return v.select("theme", "evidence_count", "independent_sources", F.round("amplification", 4).alias("amplification"), F.round("contradiction_ratio", 4).alias("contradiction_ratio"), F.round("trend", 1).alias("trend"), F.round("top_acceleration", 2).alias("top_acceleration"), F.array_join("signals", ",").alias("signals"), "companies", "top_company")
 
 
@@ -330,9 +331,10 @@ def lines(s: SparkSession, d: str) -> DataFrame:
     names = s.createDataFrame([("growth",), ("operations",)], "theme string")
     found = C._finding_rows(s, d).crossJoin(names.filter("theme = 'growth'"))  # one row
     links = _q_finding_evidence(s, d).withColumn("theme", F.lit("growth"))
-    done = cut(_finalised(s, d))
-    totals = C.scored(s, d)[2]
-    return research.report_lines(cut(C.activations(s, d)), cut(found), cut(links), cut(_theme_exposures(s, d)), done.select("theme", "maturity", "market_awareness", "awareness_mode"), totals)
+    active = cut(C.activations(s, d))
+    scores = C.scored(s, d, active)
+    done, totals = cut(_finalised(s, d, scores)), cut(scores[2])
+    return research.report_lines(active, cut(found), cut(links), cut(_theme_exposures(s, d)), done.select("theme", "maturity", "market_awareness", "awareness_mode"), totals)
 
 
 def _q_report(s: SparkSession, d: str) -> DataFrame:

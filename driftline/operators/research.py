@@ -222,7 +222,7 @@ class BudgetExceeded(RuntimeError):
     """An agent asked for more than its budget holds."""
 
 
-def traced(agent: Callable, payload, budget: Budget = Budget(), clock: Callable[[], float] = time.monotonic, **named) -> dict:
+def traced(agent: Callable, payload, budget: Budget = Budget(), clock: Callable[[], float] = time.monotonic, /, **named) -> dict:
     """One row of a run's trace: status SUCCEEDED, TIMED_OUT, BUDGET_EXCEEDED or FAILED, seconds, error, and the output, if any.
     A failure is recorded, never raised."""
     began, output, error = clock(), None, None
