@@ -11,15 +11,15 @@ three words of a half-byte, taken relative to the distance to the zero word,
 tell all 16 values of that half-byte apart (the parity of their sum gives one
 bit, the differences the rest), so 49 distances resolve the 64 bits.
 
-The distances are a function of the fingerprint and cost 49 population counts,
-so the tables carry the fingerprint and not the distances: the shuffle is
-smaller and the pairs that meet have them at hand again.
+The distances of every distinct fingerprint to the 49 references are computed
+once and written as a table; keys and discards read them from there.
 
 Candidates. Two fingerprints at distance <= 3 differ in at most three of six
 groups of half-bytes, so the relative distances of at least three whole groups
 are equal: each of the 20 choices of three groups is one table keyed by those
-distances. Pairs that meet in a table are discarded when any of the 49
-coordinates differs by more than 3 and then verified by the exact distance.
+distances. Only fingerprints that share a key with another carry their distances
+on. Pairs that meet are discarded when the largest difference of a coordinate
+exceeds 3, and the survivors are verified by the exact distance.
 
 Large groups. Fingerprints are made distinct first, so copies cost one row. A
 key that gathers more than ``pair_limit`` fingerprints would make pairs with
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import checkpointed, unused
+from driftline.llm.common import checkpointed, unused, written
 from driftline.llm.components import connected_components
 
 SEED = 42
@@ -106,18 +106,16 @@ def pivot_distances(fp: Column) -> list[Column]:
     return [F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)).cast("long"))) for p in pivots()]
 
 
-def _table_rows(fps: DataFrame) -> DataFrame:
-    """(fp, table, key): the relative pivot distances of three groups, hashed to a key."""
-    d = fps.select("fp", F.array(*pivot_distances(F.col("fp"))).cast("array<tinyint>").alias("d"))
-    coordinate = [[F.expr(f"cast(d[{1 + 3 * n + i}] - d[0] + 3 as bigint)") for n in g for i in range(3)] for g in GROUPS]
+def distance_table(fps: DataFrame) -> DataFrame:
+    """(fp, d): the pivot distances of each fingerprint."""
+    return fps.select("fp", F.array(*pivot_distances(F.col("fp"))).cast("array<tinyint>").alias("d"))
 
-    def packed(cols: list[Column]) -> Column:  # a relative distance is -3, -1, 1 or 3: three bits each
-        out = F.lit(0).cast("long")
-        for c in cols:
-            out = F.shiftleft(out, 3).bitwiseOR(c)
-        return out
 
-    d = d.select("fp", *[packed(c).alias(f"g{k}") for k, c in enumerate(coordinate)])
+def _table_rows(distances: DataFrame) -> DataFrame:
+    """(fp, table, key): the relative pivot distances of three groups, hashed to a key."""
+    # A relative distance is -3, -1, 1 or 3: three bits each, packed group by group.
+    packed = [F.aggregate(F.slice("d", 2 + 3 * g[0], 3 * len(g)), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 3).bitwiseOR((x - F.get("d", F.lit(0)) + 3).cast("long"))).alias(f"g{k}") for k, g in enumerate(GROUPS)]
+    d = distances.select("fp", *packed)
     tables = list(combinations(range(len(GROUPS)), len(GROUPS) - MAX_DISTANCE))
     rows = F.array(*[F.struct(F.lit(t).cast("tinyint").alias("table"), F.xxhash64(*[F.col(f"g{k}") for k in c]).alias("key")) for t, c in enumerate(tables)])
     return d.select("fp", F.explode(rows).alias("r")).select("fp", "r.table", "r.key")
@@ -127,16 +125,15 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> tuple[DataFrame, Data
     """(edges, hot): edges (a, b) between distinct fingerprints at distance <= 3 that meet under a key with at most
     pair_limit fingerprints, each once or more, and the fingerprints that have a fuller key, whose links among each
     other link_hot gives."""
-    rows = _table_rows(fps)
+    distances = written(distance_table(fps), "distances")
+    rows = _table_rows(distances)
     sizes = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = checkpointed(rows.join(sizes, ["table", "key"]).select("fp", "table", "key", "n"))
-    cold = met.filter(F.col("n") <= pair_limit).select("fp", "table", "key")
-    a, b = cold.select(F.col("fp").alias("a"), "table", "key"), cold.select(F.col("fp").alias("b"), "table", "key")
+    met = written(rows.join(sizes, ["table", "key"]).select("fp", "table", "key", "n").join(distances, "fp"), "met")
+    cold = met.filter(F.col("n") <= pair_limit)
+    a, b = (cold.select(F.col("fp").alias(x), F.col("d").alias(f"d_{x}"), "table", "key") for x in "ab")
     pairs = a.join(b, ["table", "key"]).filter(F.col("a") < F.col("b"))
-    near = F.lit(True)
-    for x, y in zip(pivot_distances(F.col("a")), pivot_distances(F.col("b")), strict=True):
-        near = near & (F.abs(x - y) <= MAX_DISTANCE)
-    edges = pairs.filter(near).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE).select("a", "b")
+    apart = F.array_max(F.zip_with("d_a", "d_b", lambda x, y: F.abs(x - y)))
+    edges = pairs.filter(apart <= MAX_DISTANCE).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE).select("a", "b")
     hot = met.filter(F.col("n") > pair_limit).select("fp").distinct()
     return edges, hot
 
