@@ -75,10 +75,12 @@ def sentence_spans(text: Column) -> Column:
 
 
 def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(id, shingles): the distinct runs of size words of the normal form, or all words where there are fewer; none
-    for a text without words. The words come out of a generator, which no later filter or projection is merged into:
-    else the text would be split again for every word."""
+    """(id, shingles): the 64-bit hashes of the distinct runs of size words of the normal form, or of all words where there
+    are fewer; none for a text without words. The words come out of a generator, which no later filter or projection is
+    merged into: else the text would be split again for every word. Runs are made by zipping the words with themselves,
+    moved on by one to size - 1 places, so no run is put together as a string."""
     w = docs.select(F.col(id_col), F.explode(F.array(F.split(normalise(F.col(text_col)), " "))).alias("w"))
-    run = F.transform("w", lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + k) for k in range(1, size)]))
-    full = F.when(F.size("w") >= size, F.slice(run, F.lit(1), F.size("w") - (size - 1))).otherwise(F.array(F.concat_ws(" ", "w")))
-    return w.select(F.col(id_col), F.array_distinct(F.filter(full, lambda s: s != "")).alias("shingles"))
+    runs = F.greatest(F.size("w") - (size - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice("w", F.lit(k + 1), runs).alias(f"w{k}") for k in range(size)])
+    full = F.when(runs > 0, F.transform(zipped, lambda s: F.xxhash64(s))).when(F.array_join("w", "") == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64("w")))
+    return w.select(F.col(id_col), F.array_distinct(full).alias("shingles"))
