@@ -16,7 +16,7 @@ from driftline.functions import text as X
 from driftline.operators import ancestry, extract, graph, research, scoring, signals, validate
 from driftline.operators.forest import components
 from driftline.operators.independence import profile, representatives, weakest_mode
-from driftline.plans.lineage import cut
+from driftline.plans.lineage import cut, spread
 from driftline.plans.definitions import SUBJECT_ADJACENCY, THEME_TEMPLATES, rule_rows
 from driftline.plans.vocab import PRIMARY_CLASSES, SOURCE_CLASSES
 from driftline.sources import readers
@@ -77,7 +77,8 @@ QUERY_TEXT = "the ontion thing whereas edible reeaux ontion stead"
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Cutting lineage in iterative plans."""
+"""Cutting lineage in iterative plans; spreading what a few tasks would read over all cores."""
 
 from __future__ import annotations
 
@@ -17,3 +17,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over as many tasks as there are cores where its files make fewer, as one row group is one task; else df."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
