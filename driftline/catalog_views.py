@@ -78,6 +78,15 @@ def _q_search(s: SparkSession, d: str) -> DataFrame:
     return extract.keyword_search(docs, q).select("query_id", "doc_id", "score", "rank", "truncated")
 
 
+ENTITIES = (("ontion", "company:ontion"), ("rein", "company:rein"), ("the", "company:the"))
+
+
+def _q_entities(s: SparkSession, d: str) -> DataFrame:
+    """The first entity of the lexicon that a sentence with a claim names."""
+    got = extract.extract(C.read(s, d, "documents"), C.rule_rows(C.DOC_RULES), C.DOC_SUBJECTS, list(ENTITIES), stability=C.DOC_STABLE, forward=C.DOC_FORWARD)
+    return got.filter("entity is not null").select("doc_id", "n", "entity").distinct()
+
+
 def _q_lookup(s: SparkSession, d: str) -> DataFrame:
     return views.lookup(C.documents(s, d), "document_id", 7, "document").select("document_id", "source", "lang")
 
@@ -349,6 +358,7 @@ def _q_report_sections(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, C.Query]:
     return {
         "keyword_search": _q_search,
+        "claim_entities": _q_entities,
         "document_lookup": _q_lookup,
         "recent_documents": _q_recent,
         "capability_split": _q_capability,

@@ -109,6 +109,11 @@ def oracle_sql() -> dict[str, str]:
     said = "lower(replace(role, '_', ' '))"
     return {
         "keyword_search": f"WITH {_search(values([(i, t, '|'.join(x), s, n, '2024-01-01 12:00:00' if i == 1 else None) for i, t, x, s, n in V.SEARCHES], 'query_id, text, terms, subject, hits, until'))} SELECT query_id, doc_id, score, rank, truncated FROM ranked WHERE rank <= hits",
+        "claim_entities": f"""WITH c AS ({O.claims("documents", C.DOC_RULES, C.DOC_SUBJECTS, C.DOC_STABLE, C.DOC_FORWARD)}),
+            parts AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents),
+            s AS (SELECT doc_id, (unnest(range(1, len(p) + 1)) - 1)::INTEGER AS n, lower(trim(unnest(p))) AS low FROM parts),
+            e AS (SELECT DISTINCT c.doc_id, c.n, CASE {' '.join(f"WHEN contains(low, {lit(a)}) THEN {lit(b)}" for a, b in V.ENTITIES)} END AS entity FROM c JOIN s ON s.doc_id = c.doc_id AND s.n = c.n)
+          SELECT * FROM e WHERE entity IS NOT NULL""",
         "document_lookup": "SELECT doc_id AS document_id, source, lang FROM documents WHERE doc_id = 7",
         "recent_documents": "SELECT doc_id AS document_id, source FROM documents ORDER BY doc_id DESC LIMIT 25",
         "capability_split": f"SELECT CASE WHEN {N} % 5 IN (1, 3, 4) THEN 'FILINGS' ELSE 'NEWS_SEARCH' END AS capability, count(*) AS n_documents, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from urllib.parse import urlsplit
+from urllib.request import HTTPRedirectHandler, build_opener
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,19 @@ def allowed_url(url: str, hosts: tuple[str, ...]) -> bool:
     return u.scheme == "https" and u.hostname in hosts and not u.username and u.port in (None, 443)
 
 
+class _NoRedirects(HTTPRedirectHandler):
+    def redirect_request(self, *_):
+        return None
+
+
+def fetch_json(url: str, hosts: tuple[str, ...], timeout: float = 20.0, opened: Callable | None = None) -> dict:
+    """The JSON at an allowed address. A redirect is an error: it could lead to any other host."""
+    if not allowed_url(url, hosts):
+        raise PermissionError(f"not an allowed address: {url}")
+    with (opened or build_opener(_NoRedirects()).open)(url, timeout=timeout) as answer:
+        return json.load(answer)
+
+
 def allowed(url: Column, hosts: tuple[str, ...]) -> Column:
     return (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("HOST")).isin(*hosts)
 

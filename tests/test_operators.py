@@ -1,5 +1,6 @@
 """Operators against small cases worked by hand, and the invariants that hold for all."""
 
+import io
 import json
 import random
 import time
@@ -180,6 +181,15 @@ def test_registry_urls_and_corpus(spark, tmp_path):
     corpus = readers.read_corpus(spark, str(tmp_path / "c.json"))
     docs, sources = readers.section(corpus, "documents"), readers.section(corpus, "sources")
     assert docs.first().published_at.year == 2024 and readers.by_capability(docs, sources, True).count() == 1 and readers.by_capability(docs, sources, False).count() == 0
+    ref = '{"data_mode":"DEMO","companies":[{"key":"c","name":"C","industry_key":"i"}],"industries":[{"key":"i","parent":"j"}],"relationships":[{"source_entity_type":"COMPANY","source_entity_key":"c","weight":0.5}]}'
+    (tmp_path / "r.json").write_text(ref)
+    whole = readers.read_corpus(spark, str(tmp_path / "r.json"))
+    assert [readers.section(whole, x).count() for x in ("companies", "industries", "relationships", "documents")] == [1, 1, 1, 0]
+    reg.register("NEWS_SEARCH", lambda: spark.range(3), "DEMO")
+    assert reg.both("NEWS_SEARCH", "FILINGS").count() == 5
+    assert readers.fetch_json("https://a.example/x", ("a.example",), opened=lambda url, timeout: io.BytesIO(b'{"n": 1}')) == {"n": 1}
+    with pytest.raises(PermissionError):
+        readers.fetch_json("https://b.example/x", ("a.example",), opened=lambda *_, **__: None)
     (tmp_path / "l.json").write_text('{"data_mode":"LIVE","documents":[]}')
     with pytest.raises(Exception, match="DEMO"):
         readers.read_corpus(spark, str(tmp_path / "l.json")).collect()
