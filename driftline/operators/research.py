@@ -14,8 +14,8 @@ from driftline.functions.kernels import finding_confidence
 from driftline.operators.extract import keyword_search
 from driftline.operators.independence import profile
 from driftline.plans.definitions import (
-    AWARENESS_ESTIMATE, BREADTH, COMPANIES_MAPPED, COMPANY_MAPPED, COUNTER_DIMENSIONS, DIMENSION_EVENTS, DISCLAIMER, FALLS, GENERAL_HYPOTHESIS, INDIRECT, INVALIDATES, NEUTRAL_DIMENSIONS,
-    NO_EXPOSURE, NO_MARKET_DATA, NO_TREND, ORDERS, PLAN_QUESTIONS, RATES, REQUIRED_DIMENSIONS, SIGNAL_CHANGED, SIGNAL_QUESTION, SPECULATIVE_DIMENSIONS, STAGE, STRONGEST, SUPPORTING_TYPES,
+    AND_SPECULATIVE, AWARENESS_ESTIMATE, BREADTH, COMPANIES_MAPPED, COMPANY_MAPPED, COUNTER_DIMENSIONS, DIMENSION_EVENTS, DISCLAIMER, FALLS, GENERAL_HYPOTHESIS, INDIRECT, INVALIDATES, NEUTRAL_DIMENSIONS,
+    NO_EVIDENCE, NO_EXPOSURE, NO_MARKET_DATA, NO_TREND, ON_DIMENSION, ONLY_SPECULATIVE, ORDERS, PLAN_QUESTIONS, RATES, REQUIRED_DIMENSIONS, SIGNAL_CHANGED, SIGNAL_QUESTION, SPECULATIVE_DIMENSIONS, STAGE, STRONGEST, SUPPORTING_TYPES,
 )
 from driftline.plans.vocab import DIMENSIONS
 
@@ -123,12 +123,12 @@ def findings(evidence: DataFrame, pairs=DIMENSION_EVENTS, supporting=SUPPORTING_
     claim_type = F.when(none, "FACT").when(F.col("observed") == 0, "HYPOTHESIS").when(F.col("types") > 1, "INFERENCE").otherwise("FACT")
     name = F.lower(F.replace("dimension", F.lit("_"), F.lit(" ")))
     n = F.coalesce("independent_sources", F.lit(0))
-    lead = F.concat(n.cast("string"), F.lit(" independent source(s) on "), name, F.lit(": "), F.col("breakdown"))
+    lead = F.format_string(ON_DIMENSION, n, name, "breakdown")
     claim = (
-        F.when(none, F.concat(F.lit("No evidence addressing "), name, F.lit(" was located in the available corpus for this window.")))
-        .when((F.col("observed") > 0) & (F.col("speculative") > 0), F.concat(lead, F.lit("; plus "), F.col("speculative").cast("string"), F.lit(" forward-looking or historical statement(s).")))
+        F.when(none, F.format_string(NO_EVIDENCE, name))
+        .when((F.col("observed") > 0) & (F.col("speculative") > 0), F.format_string(AND_SPECULATIVE, lead, "speculative"))
         .when(F.col("observed") > 0, F.concat(lead, F.lit(".")))
-        .otherwise(F.concat(F.col("speculative").cast("string"), F.lit(" forward-looking or historical statement(s) bear on "), name, F.lit("; no observed event of this kind was recorded.")))
+        .otherwise(F.format_string(ONLY_SPECULATIVE, "speculative", name))
     )
     return d.select(
         "ord", "dimension", stance.alias("stance"), claim_type.alias("claim_type"), F.when(none, 0.0).otherwise(finding_confidence(n, F.col("avg_quality"))).alias("confidence"),
@@ -141,14 +141,6 @@ def gaps(found: DataFrame) -> DataFrame:
     return found.filter("independent_sources = 0").select("dimension", "claim")
 
 
-def sections(found: DataFrame) -> DataFrame:
-    """Findings with the section of a report that they belong to, by independent sources."""
-    section = (
-        F.when(F.col("independent_sources") == 0, "gaps").when(F.col("stance") == "SUPPORTING", "supporting").when(F.col("stance") == "CONTRADICTING", "contradicting").otherwise("contextual")
-    )
-    return found.withColumn("section", section).orderBy("section", F.desc("independent_sources"), "ord")
-
-
 def ensure_hypotheses(themes: DataFrame, stored: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
     """(theme, statement, status, created): the open hypothesis of each theme, or a new one from its template or its name.
 

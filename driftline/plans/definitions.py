@@ -187,6 +187,14 @@ NO_MARKET_DATA = (
 )
 FALLS = "%s acceleration falls below 0 against its baseline (currently %+.0f)."
 INVALIDATES = "Independent contradicting evidence rises above 60% of independent evidence, which the maturity classifier treats as invalidating."
+NO_EVIDENCE = "No evidence addressing %s was located in the available corpus for this window."
+ON_DIMENSION = "%s independent source(s) on %s: %s"
+AND_SPECULATIVE = "%s; plus %s forward-looking or historical statement(s)."
+ONLY_SPECULATIVE = "%s forward-looking or historical statement(s) bear on %s; no observed event of this kind was recorded."
+FILING_TITLE = "%s — %s (%s)"
+FILING_BODY = "%s filed a %s (%s) with the SEC."
+FILING_URL = "https://www.sec.gov/Archives/edgar/data/%s/%s/%s"
+FILINGS_URL = "https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK=%s"
 DISCLAIMER = "Research output. Not investment advice, and not a forecast of any security's price. Scores rank research priority, not expected return."
 DOMAIN_EVENTS = ("SOURCE_INGESTED", "EVIDENCE_EXTRACTED", "EVENT_CREATED", "SIGNAL_UPDATED", "TREND_UPDATED", "THEME_UPDATED", "RESEARCH_REQUESTED", "RESEARCH_COMPLETED")
 # End of the fixed values.

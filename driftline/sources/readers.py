@@ -10,7 +10,7 @@ from urllib.request import HTTPRedirectHandler, build_opener
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.plans.definitions import DOMAIN_EVENTS
+from driftline.plans.definitions import DOMAIN_EVENTS, FILING_BODY, FILING_TITLE, FILING_URL, FILINGS_URL
 from driftline.plans.vocab import CAPABILITIES, FILING_FORMS, FILING_SOURCE_TYPES
 
 CORPUS_SCHEMA = (
@@ -65,13 +65,11 @@ def parse_filings(payloads: DataFrame, since: str | None = None, until: str | No
     accession = F.coalesce("accessionNumber", F.lit(""))
     bare, primary = F.replace(accession, F.lit("-"), F.lit("")), F.coalesce("primaryDocument", F.lit(""))
     what = F.coalesce("primaryDocDescription", "form")
-    url = F.when((bare != "") & (primary != ""), F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.col("cik").cast("bigint").cast("string"), F.lit("/"), bare, F.lit("/"), primary)).otherwise(
-        F.concat(F.lit("https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK="), "cik")
-    )
+    url = F.when((bare != "") & (primary != ""), F.format_string(FILING_URL, F.col("cik").cast("bigint"), bare, primary)).otherwise(F.format_string(FILINGS_URL, "cik"))
     ref = F.concat(F.lit("sec:"), "cik", F.lit(":"), accession)
     return r.select(
-        ref.alias("external_id"), url.alias("url"), F.concat("entity", F.lit(" — "), "form", F.lit(" ("), what, F.lit(")")).alias("title"),
-        F.concat("entity", F.lit(" filed a "), "form", F.lit(" ("), what, F.lit(") with the SEC.")).alias("body_text"), "published_at", day("reportDate").alias("event_at"), ref.alias("origin_ref"), "form",
+        ref.alias("external_id"), url.alias("url"), F.format_string(FILING_TITLE, "entity", "form", what).alias("title"),
+        F.format_string(FILING_BODY, "entity", "form", what).alias("body_text"), "published_at", day("reportDate").alias("event_at"), ref.alias("origin_ref"), "form",
     )
 
 
