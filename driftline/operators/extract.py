@@ -12,14 +12,16 @@ from driftline.plans.definitions import FORWARD_PATTERNS, MAX_CLAIMS_PER_SENTENC
 
 #: White space, letters and dots as the rules' authors meant them: Unicode classes, any line end but LF in a dot.
 _FLAGS = "(?diuU)"
+#: The same with LF in a dot as well.
+_FLAGS_DOT_ALL = "(?diuUs)"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(_FLAGS + pattern)
+def matches(text: Column, pattern: str, dot_all: bool = False) -> Column:
+    return text.rlike((_FLAGS_DOT_ALL if dot_all else _FLAGS) + pattern)
 
 
-def any_of(text: Column, patterns) -> Column:
-    return matches(text, "|".join(f"(?:{p})" for p in patterns))
+def any_of(text: Column, patterns, dot_all: bool = False) -> Column:
+    return matches(text, "|".join(f"(?:{p})" for p in patterns), dot_all)
 
 
 def subject_of(sentence: Column, hints: Column | None = None, lexicon=SUBJECT_LEXICON) -> Column:
@@ -38,18 +40,19 @@ def subject_of(sentence: Column, hints: Column | None = None, lexicon=SUBJECT_LE
     return F.coalesce(out, named)
 
 
-def extract(docs: DataFrame, rules: list[tuple] | None = None, lexicon=SUBJECT_LEXICON, entities: list[tuple[str, str]] | None = None, stability=STABILITY_PATTERNS, forward=FORWARD_PATTERNS, id_col: str = "doc_id") -> DataFrame:
+def extract(docs: DataFrame, rules: list[tuple] | None = None, lexicon=SUBJECT_LEXICON, entities: list[tuple[str, str]] | None = None, stability=STABILITY_PATTERNS, forward=FORWARD_PATTERNS, id_col: str = "doc_id", dot_all: bool = False) -> DataFrame:
     """A row a claim: id, sentence number, span, rule, type (null for speculation), magnitude, confidence, subject, entity.
 
     Rules are matched inside the row, as an array of those that fire, so no sentence is shuffled; of the rules of one type
-    the first counts, and the first three types. entities: (surface, key) in order; the first that a sentence holds."""
+    the first counts, and the first three types. entities: (surface, key) in order; the first that a sentence holds.
+    dot_all: a dot in a rule or guard stands for a line feed too; the built-in ones are written for dots that stop there."""
     rules = rule_rows() if rules is None else rules
     hints = F.col("subject_hints") if "subject_hints" in docs.columns else None
     extra = ["subject_hints"] if hints is not None else []
     s = docs.select(F.col(id_col), *extra, F.posexplode(sentence_spans(F.coalesce(F.col("text"), F.lit("")))).alias("n", "span"))
     s = s.select(id_col, *extra, "n", F.col("span.start").alias("start"), F.col("span.end").alias("end"), F.col("span.sentence").alias("sentence")).filter("sentence <> ''")
     if stability:
-        s = s.filter(~any_of(F.col("sentence"), stability))
+        s = s.filter(~any_of(F.col("sentence"), stability, dot_all))
     # One array of the rules that fire, cut to the first of each type and to the first types.
     kinds: dict[str, list[tuple]] = {}
     for r in rules:
@@ -59,11 +62,11 @@ def extract(docs: DataFrame, rules: list[tuple] | None = None, lexicon=SUBJECT_L
         hit = F.lit(None).cast("struct<ord:int,rule_key:string,event_type:string,magnitude:double,confidence:double,claim:string>")
         for ord_, key, kind, pattern, magnitude, conf, claim in reversed(same):
             one = F.struct(F.lit(ord_).alias("ord"), F.lit(key).alias("rule_key"), F.lit(kind).alias("event_type"), F.lit(float(magnitude)).alias("magnitude"), F.lit(float(conf)).alias("confidence"), F.lit(claim).alias("claim"))
-            hit = F.when(matches(F.col("sentence"), pattern), one).otherwise(hit)
+            hit = F.when(matches(F.col("sentence"), pattern, dot_all), one).otherwise(hit)
         first_of.append(hit)
     fired = F.slice(F.array_sort(F.array_compact(F.array(*first_of))), 1, MAX_CLAIMS_PER_SENTENCE)
     found = s.withColumn("fired", fired)
-    spec = any_of(F.col("sentence"), forward) if forward else F.lit(False)
+    spec = any_of(F.col("sentence"), forward, dot_all) if forward else F.lit(False)
     entity = F.lit(None).cast("string")
     for surface, key in reversed(entities or []):
         entity = F.when(F.lower("sentence").contains(surface.lower()), F.lit(key)).otherwise(entity)
