@@ -12,6 +12,12 @@ CHANGE_FLOOR = 8.0
 RATE_FLOOR = 0.05
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Scaled, rounded to a whole number, scaled back, as SQL rounds doubles. F.round goes by the decimals that a double
+    prints, so it takes another neighbour where the product comes to lie on a half or leaves it."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def saturating_strength(net: Column, k: float = SATURATION) -> Column:
     return F.round(100 * (1 - F.exp(-F.abs(net) / k)), 4)
 

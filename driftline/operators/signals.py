@@ -41,7 +41,7 @@ def contributions(evidence: DataFrame, weights: DataFrame) -> DataFrame:
     """Evidence joined to the signals that weigh its type and subject, with its signed contribution.
 
     weights is a definition table, a row a signal and type: a list in the source."""
-    signed = F.round(K.contribution(F.col("magnitude"), F.col("confidence"), F.col("source_quality")) * F.col("weight"), 6)
+    signed = K.rounded(K.contribution(F.col("magnitude"), F.col("confidence"), F.col("source_quality")) * F.col("weight"), 6)
     return evidence.join(F.broadcast(weights), ["subject", "event_type"]).withColumn("signed", signed)
 
 
